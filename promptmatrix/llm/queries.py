@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix.llm import nbsvm, quality_rules
+from promptmatrix.llm import nbsvm, quality_rules, toxicity
 from promptmatrix.llm.session import remainder, table
 
 
@@ -22,8 +22,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.apply(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return toxicity.apply(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_quality_classifier, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
