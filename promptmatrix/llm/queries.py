@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix.llm import html_text, mixing, nbsvm, near_dup, quality_rules, toxicity
+from promptmatrix.llm import html_text, mixing, nbsvm, near_dup, quality_rules, substring_dedup, toxicity
 from promptmatrix.llm.session import remainder, table
 
 
@@ -24,6 +24,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.apply(table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
@@ -41,8 +45,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op5_quality_classifier, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op4_substring_dedup": substring_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
