@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix.llm import html_text, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
+from promptmatrix.llm import html_text, language_model, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
 from promptmatrix.llm.session import remainder, table
 
 
@@ -38,6 +38,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
