@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix.llm import html_text, language_model, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
+from promptmatrix.llm import exact_search, html_text, language_model, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
 from promptmatrix.llm.session import remainder, table
 
 
@@ -43,6 +43,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op8_exact_search, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op4_substring_dedup": substring_dedup.ORACLE, "op8_exact_search": exact_search.ORACLE, "op9_mixing": mixing.ORACLE}
