@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import checkpointed
+from promptmatrix.llm.session import checkpointed, stored
 
 WINDOW = 35
 _ROUNDS, _COVER = 2, 8
@@ -189,20 +189,24 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.col(text_col).cast("string")
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
     rows = docs.select(key.alias("key"), text.alias("t"))
-    surveyed = checkpointed(_survey(rows))
-    single = checkpointed(surveyed.where(f"n >= {WINDOW}").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("found").alias("found"), F.first("twice").alias("twice")))
-    seen = single.select("key", "h1", F.posexplode("found").alias("i", "name"), "twice").select("key", "h1", "name", F.when(F.col("i") < F.col("twice"), 2).otherwise(1).alias("times"))
+    surveyed, drop_surveyed = stored(_survey(rows))
+    full, drop_full = stored(surveyed.where(f"n >= {WINDOW}").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("found").alias("found"), F.first("twice").alias("twice")))
+    single = checkpointed(full.select("key", "h1", "h2", "copies"))
+    copies = checkpointed(surveyed.select("key", "h1", "h2").join(single.where("copies > 1").select("h1", "h2"), ["h1", "h2"]).select("key", "h1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")).distinct())
+    drop_surveyed()
+    seen = full.select("key", "h1", F.posexplode("found").alias("i", "name"), "twice").select("key", "h1", "name", F.when(F.col("i") < F.col("twice"), 2).otherwise(1).alias("times"))
     often = seen.groupBy("name").agg(F.sum("times").alias("c")).where("c > 1").select("name")
     shared = checkpointed(seen.join(often, "name").groupBy("key", "h1").agg(F.collect_list("name").alias("shared")))
+    drop_full()
     _release(spark)
     suspects = single.select("key", "h1", "h2").join(shared, ["key", "h1"])
-    windows = checkpointed(_candidates(rows.join(suspects, "key").select("key", "t", "h1", "h2", "shared")))
+    windows, drop_windows = stored(_candidates(rows.join(suspects, "key").select("key", "t", "h1", "h2", "shared")))
     _release(spark)
     again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
     starts = windows.join(again, "window").groupBy("key").agg(F.collect_list("start").alias("starts"))
     found = starts.join(single.where("copies = 1").select("key", "h1"), "key").select("key", "h1", F.lit(False).alias("copy"), "starts")
-    copies = surveyed.join(single.where("copies > 1").select("h1", "h2"), ["h1", "h2"]).select("key", "h1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")).distinct()
     judged = checkpointed(found.unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("h1", "copy", "starts")).alias("judged")))
+    drop_windows()
     _release(spark)
     joined = docs.withColumns({"_key": key, "_text": text}).join(judged.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
     width = len(docs.columns)
