@@ -240,6 +240,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their class: one document of each class, once."""
+    """The rows of ``docs`` whose id names their class: one document of each class, once.  Rows without an id can not name one; they stay."""
     kept = classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
