@@ -1,0 +1,7 @@
+"""Evaluation of prompts and models as one lazy Spark plan.
+
+Test cases x prompt variants x models become a table of cells; cells are
+rendered, completed, scored, aggregated and gated with DataFrame operators.
+"""
+
+__version__ = "0.1.0"
