@@ -5,3 +5,14 @@ rendered, completed, scored, aggregated and gated with DataFrame operators.
 """
 
 __version__ = "0.1.0"
+
+from promptmatrix.errors import ConfigError, ContentError, MatrixError, ProviderError, ScoringError, SourceError, StoreError, TemplateError
+from promptmatrix.plans.run import Outcome, Selection, dry_run, estimate, rescore, run, selection_note
+from promptmatrix.sources.paged import Page
+from promptmatrix.sources.store import Store
+from promptmatrix.spec import Case, Config, load, parse
+
+__all__ = [
+    "Case", "Config", "ConfigError", "ContentError", "MatrixError", "Outcome", "Page", "ProviderError", "ScoringError", "Selection", "SourceError", "Store", "StoreError", "TemplateError",
+    "dry_run", "estimate", "load", "parse", "rescore", "run", "selection_note",
+]
