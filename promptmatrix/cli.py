@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix import export, spec
+from promptmatrix import export, secrets, spec, tools
 from promptmatrix.errors import MatrixError
 from promptmatrix.operators import results, scoring
 from promptmatrix.plans import run as runs
@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--dry-run", action="store_true")
     run.add_argument("--estimate", action="store_true")
     run.add_argument("--json", action="store_true")
+    run.add_argument("--request-log", help="a folder for a trace of the calls")
     show = sub.add_parser("show", help="a run")
     show.add_argument("ref", nargs="?", default="latest")
     show.add_argument("--failures", action="store_true")
@@ -81,6 +82,7 @@ def parser() -> argparse.ArgumentParser:
     cal.add_argument("ref")
     cal.add_argument("labels")
     cal.add_argument("folder")
+    sub.add_parser("doctor", help="what would stop a run")
     sub.add_parser("init", help="write a first configuration")
     return p
 
@@ -108,6 +110,11 @@ def execute(args: argparse.Namespace) -> int:
             raise spec.ConfigError(f"{path} exists")
         path.write_text(STARTER, encoding="utf-8")
         return 0
+    if args.command == "doctor":
+        checks = tools.diagnose(args.config)
+        for c in checks:
+            print(f"{'ok  ' if c['ok'] else 'FAIL'} {c['check']} {c['detail']}".rstrip())
+        return 0 if all(c["ok"] for c in checks) else 1
     config = spec.load(args.config)
     store, spark = Store(config.base / config.settings.output_dir), session()
     if args.command in ("run", "validate"):
@@ -124,7 +131,7 @@ def execute(args: argparse.Namespace) -> int:
         how.max_cost, how.fail_fast = args.max_cost, args.fail_fast
         if isinstance(config.cases, spec.CaseSource) and config.cases.limit is None and args.max_cost is None:
             raise spec.ConfigError("the case source has no limit: set cases.limit or --max-cost")
-        done = runs.run(spark, config, how, args.label, args.resume, False if args.no_cache else None)
+        done = runs.run(spark, config, how, args.label, args.resume, False if args.no_cache else None, secrets.values(config.base), args.request_log)
         print(json.dumps(done.meta, default=str) if args.json else export.markdown(done.meta, done.results))
         good = done.meta["status"] == "complete" and done.meta["aggregates"]["overall"]["cases"] > 0 and done.passed is not False
         return 0 if good else 1

@@ -20,7 +20,7 @@ from promptmatrix import spec as specs
 from promptmatrix.errors import ConfigError, MatrixError, StoreError, TemplateError
 from promptmatrix.functions import prices, template
 from promptmatrix.functions.scorers import Inputs, bind, entry, judge_params
-from promptmatrix.functions.text import hash_case_id
+from promptmatrix.functions.text import hash_case_id, scrub
 from promptmatrix.operators import matrix, requests, results, scoring
 from promptmatrix.providers import calls, stage
 from promptmatrix.sources import cases as case_files
@@ -337,7 +337,7 @@ def _stored(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
-def run(spark: SparkSession, config: specs.Config, how: Selection | None = None, label: str | None = None, resume: str | None = None, cache: bool | None = None, secrets: list[str] | None = None) -> Outcome:
+def run(spark: SparkSession, config: specs.Config, how: Selection | None = None, label: str | None = None, resume: str | None = None, cache: bool | None = None, secrets: list[str] | None = None, request_log: str | None = None) -> Outcome:
     """Evaluates a configuration.
 
     Without a cap all cells are one plan.  With ``max_cost`` or ``fail_fast``
@@ -347,6 +347,8 @@ def run(spark: SparkSession, config: specs.Config, how: Selection | None = None,
     how = how or Selection()
     if how.max_cost is not None and (not math.isfinite(how.max_cost) or how.max_cost < 0):
         raise ConfigError("max_cost must be finite and not negative")
+    if request_log and config.privacy.no_look:
+        raise ConfigError("a private run keeps no trace of its calls")
     root = config.base / config.settings.output_dir
     store, private = Store(root), config.privacy.no_look
     sha = fingerprint(config)
@@ -390,6 +392,10 @@ def run(spark: SparkSession, config: specs.Config, how: Selection | None = None,
         scored, cost = score(spark, complete(spark, part, bound.models, config.base, responses, secrets), config, responses, secrets)
         judge_cost += cost
         rows = _kept(_stored(scored))
+        if request_log:  # as JSON lines; headers and keys are never part of a cell, and outputs are scrubbed already
+            trace = rows.where("not cached").select("model", "messages", "output", "error", "latency_ms")
+            scrubbed = scrub(F.to_json(F.struct("*")), secrets or [])
+            trace.select(scrubbed.alias("value")).write.mode("append").text(request_log)
         store.append(run_id, results.redacted(rows, config.privacy.keep_case_ids, python) if private else rows)
         return rows
 
