@@ -18,6 +18,7 @@ label 1.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -104,8 +105,9 @@ def features(hist: np.ndarray) -> np.ndarray:
 
 
 def _dictionary(words: Counter, size: int) -> bytes:
-    samples = [_MARK + w + _MARK for w in sorted(words) for _ in range(min(words[w], 300))]
-    samples = [samples[i] for i in np.random.default_rng(1).permutation(len(samples))[:400_000]]
+    spelled = [_MARK + w + _MARK for w in sorted(words)]
+    times = np.minimum(np.array([words[w] for w in sorted(words)], np.int64), 300)
+    samples = [spelled[i] for i in np.random.default_rng(1).permutation(np.repeat(np.arange(len(spelled)), times))[:400_000]]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the most frequent words as they are, the best last
@@ -118,22 +120,26 @@ def train(texts: list[bytes], y: np.ndarray) -> Model:
     flat = Model(b"", b"", np.zeros(k), np.ones(k), np.append(np.zeros(k), np.log(share / (1 - share))))
     if not 0 < y.sum() < len(y):
         return flat
-    bags = [set(t.translate(tk.LOWER.tobytes()).split()) for t in texts]
+    low = tk.LOWER.tobytes()
+    bags = lambda label: (set(t.translate(low).split()) for t, x in zip(texts, y, strict=True) if x == label)
     prefix = lambda bag: {w[:p] for w in bag for p in PREFIXES if len(w) >= p}
     toxic: Counter = Counter()
-    for bag, label in zip(bags, y, strict=True):
-        if label:
-            toxic.update(prefix(bag))
+    for bag in bags(1):
+        toxic.update(prefix(bag))
     toxic = Counter({g: n for g, n in toxic.items() if n >= LEAST_TEXTS})
     plain: Counter = Counter()
-    for bag, label in zip(bags, y, strict=True):
-        if not label:
-            plain.update(prefix(bag) & toxic.keys())
+    seen = np.zeros(1 << 22, np.uint8)  # texts by a hash of the word, two at most: words of one text only are most of all, and not needed
+    for bag in bags(0):
+        plain.update(prefix(bag) & toxic.keys())
+        at = np.fromiter({zlib.crc32(w) & len(seen) - 1 for w in bag}, np.int64)
+        seen[at] = np.minimum(seen[at] + 1, 2)
     odds = lambda g: np.log((toxic[g] + 0.5) / (y.sum() + 1)) - np.log((plain[g] + 0.5) / (len(y) - y.sum() + 1))
     marked = {g for g in toxic if odds(g) > LEAST_ODDS}
     words: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, label in zip(bags, y, strict=True):
-        words[int(label)].update((w for w in bag if any(w[:p] in marked for p in PREFIXES)) if label else bag)
+    for bag in bags(1):
+        words[1].update(w for w in bag if any(w[:p] in marked for p in PREFIXES))
+    for bag in bags(0):
+        words[0].update(w for w in bag if seen[zlib.crc32(w) & len(seen) - 1] > 1)
     model = Model(_dictionary(Counter({w: n for w, n in words[0].items() if n > 1}), ORDINARY_BYTES), _dictionary(words[1], TOXIC_BYTES), flat.center, flat.scale, flat.weight)
     tool = Distances(model.ordinary, model.toxic)
     x = features(np.concatenate([tool.histograms(c) for c in tk.chunks(pa.array(texts, pa.binary()).cast(pa.large_binary()))]))
@@ -156,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     got = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t").dropDuplicates(["id"]).toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
-    texts = got["t"].to_pylist()
-    return train([texts[i] for i in order], got["y"].to_numpy()[order].astype(float))
+    texts, y = got["t"].to_pylist(), got["y"].to_numpy()[order].astype(float)
+    del got
+    return train([texts[i] for i in order], y)
 
 
 def scorer(docs: DataFrame, model: Model):
