@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_sample, labelled
+from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled
 
 #: Labelled documents that the model is fitted on, at most, and the places that n-grams are hashed to.
 SAMPLE_ROWS, BUCKETS = 4096, 1 << 18
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
 
 def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` (0 to 1) and ``predicted`` of every document."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

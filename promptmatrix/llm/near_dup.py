@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
 from promptmatrix.llm.components import components
-from promptmatrix.llm.session import checkpointed, cpu_parallelism
+from promptmatrix.llm.session import bounded_batches, checkpointed, cpu_parallelism
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -214,11 +214,12 @@ def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col:
                 found.extend(link_block(ids, side, sigs, [np.frombuffer(r[3], np.uint64) for r in held]))
 
         for b in batches:
-            for rep, sig, blob, grp, x, y, side in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            reps, grps, xs, ys, sides = (b.column(i).to_pylist() for i in (0, 3, 4, 5, 6))
+            for i, (rep, grp, x, y, side) in enumerate(zip(reps, grps, xs, ys, sides, strict=True)):
                 if (grp, x, y) != key:
                     finish()
                     held, key = [], (grp, x, y)
-                held.append((rep, side, sig, blob))
+                held.append((rep, side, b.column(1)[i].as_py(), b.column(2)[i].as_py()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
                 found = []
@@ -230,6 +231,7 @@ def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and its class, the least id that it is connected with."""
+    bounded_batches(docs.sparkSession)
     signed = checkpointed(_sign(docs, id_col, text_col))
     worded = signed.where("n > 0")
     members = checkpointed(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))

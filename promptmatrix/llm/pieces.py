@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
+from promptmatrix.llm.session import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose distinct words are sorted together.
 BLOCK_BYTES = 8 << 20
 #: Words whose ids a task keeps, about, besides those of its block.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS, KNOWN_PAIRS = 1 << 20, 1 << 18
 _NEVER = 1 << 60
 
 
@@ -83,6 +84,8 @@ class Encoder:
         self.reach: dict[str, int] = {}  # the longest piece with this end of two characters
         for piece in model.number:
             self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 0))
+        self.spelled = {n: p for p, n in model.number.items()}
+        self.size_of_table = max(self.spelled, default=0) + 1
         self.names, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.alone = all("\n" not in p for p in model.number)
         self.rank, self.parts, self.good, self.fits = {}, {}, {}, {}
@@ -122,16 +125,17 @@ class Encoder:
             out.append(self.parts[out[-1]][side])
         return out[::-1]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the merges over the text of ``a`` and ``b`` end with exactly these two pieces.
+    def follows(self, one: int, two: int) -> bool:
+        """Whether the merges over the text of two pieces, given by number, end with exactly these two.
 
         Both pieces grow at the seam, each to its next form at that form's
         rank.  While two forms stand side by side, a merge of them that comes
         before the next growth of either would join them.
         """
-        key = (a, b)
+        key = one * self.size_of_table + two
         known = self.fits.get(key)
         if known is None:
+            a, b = self.spelled[one], self.spelled[two]
             left, right, rank = self._edge(a, 1), self._edge(b, 0), self.rank
             i = j = 0
             known = True
@@ -149,7 +153,7 @@ class Encoder:
                 else:
                     j += 1
             known = known and self.good[b]
-            if len(self.fits) > 1 << 20:
+            if len(self.fits) > KNOWN_PAIRS:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -158,16 +162,15 @@ class Encoder:
 
     def words(self, distinct: list[str]) -> list[list[int]]:
         """The ids of distinct words given in sorted order."""
-        number, reach, follows, good, merges, fits = self.number, self.reach, self.follows, self.good, self.model.merges, self.fits
-        score, byte = self.model.score, self.model.byte
-        last: list = [""]  # the piece that ends the best segmentation of each prefix; None: a character without a piece
+        number, reach, follows, good, merges, fits, table = self.number, self.reach, self.follows, self.good, self.model.merges, self.fits, self.size_of_table
+        score, byte, spelled = self.model.score, self.model.byte, self.spelled
+        last: list = [None]  # the number of the piece that ends the best segmentation of each prefix; None: the beginning, or a character without a piece
         best = [0.0]
         out, before = [], ""
         for word in distinct:
             if merges and word.startswith(MARK * 2):  # equal ranks among runs of marks: the merges decide
-                pieces = self.merge(word)
-                ids = []
-                for p in pieces:
+                ids: list[int] = []
+                for p in self.merge(word):
                     n = number.get(p)
                     ids.extend([n] if n is not None else [byte[x] for x in p.encode()])
                 out.append(ids)
@@ -182,19 +185,22 @@ class Encoder:
                 most = reach.get(word[end - 2 : end], 1) if end > 1 else 1
                 for start in range(end - most if end > most else 0, end):
                     piece = word[start:end]
-                    if piece in number:
-                        if merges:
-                            prior = last[start]
-                            if prior:
-                                fit = fits.get((prior, piece))
-                                if follows(prior, piece) if fit is None else fit:
-                                    pick = piece
-                                    break
-                            elif good[piece]:
-                                pick = piece
+                    n = number.get(piece)
+                    if n is None:
+                        continue
+                    if merges:
+                        prior = last[start]
+                        if prior is None:
+                            if good[piece]:
+                                pick = n
                                 break
-                        elif best[start] + score[piece] > top:
-                            pick, top = piece, best[start] + score[piece]
+                        else:
+                            fit = fits.get(prior * table + n)
+                            if follows(prior, n) if fit is None else fit:
+                                pick = n
+                                break
+                    elif best[start] + score[piece] > top:
+                        pick, top = n, best[start] + score[piece]
                 if pick is None and not merges:
                     top = best[end - 1] - 1e6
                 last.append(pick)
@@ -206,8 +212,8 @@ class Encoder:
                     at -= 1
                     ids.extend(byte[x] for x in reversed(word[at].encode()))
                 else:
-                    ids.append(number[piece])
-                    at -= len(piece)
+                    ids.append(piece)
+                    at -= len(spelled[piece])
             out.append(ids[::-1])
         return out
 
@@ -297,6 +303,7 @@ def _tool(model: Model) -> tuple[Encoder, Decoder]:
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``ids``, ``n_tokens`` and ``round_trip`` of every document."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,13 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), drop
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB between Spark and Python, unless the session asks for a size of its own: long texts then cost no more memory than short ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(name, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,4 +74,4 @@ def cpu_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["bounded_sample", "checkpointed", "cpu_parallelism", "labelled", "remainder", "stored", "table"]
+__all__ = ["bounded_batches", "bounded_sample", "checkpointed", "cpu_parallelism", "labelled", "remainder", "stored", "table"]

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import checkpointed, stored
+from promptmatrix.llm.session import bounded_batches, checkpointed, stored
 
 WINDOW = 35
 _ROUNDS, _COVER = 2, 8
@@ -186,6 +186,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and _n_words, _n_removed and _kept, the words left joined by one space."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.col(text_col).cast("string")
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
     rows = docs.select(key.alias("key"), text.alias("t"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_sample, labelled
+from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled
 
 #: Labelled documents that dictionaries and thresholds are fitted on, at most.
 SAMPLE_ROWS = 8192
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 
 def scorer(docs: DataFrame, model: Model):
     """A function from a string column of a batch to the scores of its texts; what it knows of words lasts for the task."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
