@@ -170,7 +170,9 @@ def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col:
     """Links ``a``, ``b`` that connect the members (``rep``, h1, h2, n, sig) of one text each, group by group."""
     banded = checkpointed(_bands(members))
     pivot = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    chains = banded.join(pivot.select("key", "pivot"), "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    # a member's pivots are chained to the least of them, and the member too: about one edge a member, not one a band
+    met = banded.join(pivot.select("key", "pivot"), "key").groupBy("rep").agg(F.min("pivot").alias("b"), F.collect_set("pivot").alias("pivots"))
+    chains = met.select(F.explode(F.array_union("pivots", F.array("rep"))).alias("a"), "b").where("a <> b").distinct()
     groups = components(chains)
     grouped = checkpointed(members.join(groups.select(F.col("id").alias("rep"), F.col("label").alias("grp")), "rep"))
     sizes = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("k"))
