@@ -18,6 +18,7 @@ label 1.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -58,11 +59,11 @@ class Model:
 
 
 class Distances:
-    """Distances of words, remembered by hash up to a fixed number of words."""
+    """Distances of words, remembered by hash (nine bytes a word) up to a fixed number of words."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d + _CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for d in (ordinary, toxic)]
-        self.known: dict[int, int] = {}
+        self.names, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
     def of(self, word: bytes) -> int:
         window = _CARRIER + _MARK + word + _MARK
@@ -75,15 +76,15 @@ class Distances:
         w = tk.find_words(c)
         h = tk.word_hashes(data, w.start, w.end)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        got = np.empty(len(keys), np.int64)
-        for i, (k, a, b) in enumerate(zip(keys.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)):
-            d = known.get(k)
-            if d is None:
-                d = known[k] = self.of(raw[a:b])
-            got[i] = d
+        if len(self.names) > _CACHE_WORDS:
+            self.names, self.known = self.names[:0], self.known[:0]
+        new = np.flatnonzero(~np.isin(keys, self.names, assume_unique=True))
+        if len(new):
+            raw, at = data.tobytes(), first[new]
+            fresh = np.array([self.of(raw[a:b]) for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], np.int8)
+            place = np.searchsorted(self.names, keys[new])
+            self.names, self.known = np.insert(self.names, place, keys[new]), np.insert(self.known, place, fresh)
+        got = self.known[np.searchsorted(self.names, keys)].astype(np.int64)
         width = _HIGH - _LOW + 1
         out = np.bincount(w.doc * width + got[inverse] - _LOW, minlength=c.n * width).reshape(c.n, width)
         out[np.diff(w.cut) == 0, -_LOW] = 1
@@ -164,7 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     texts, y = got["t"].to_pylist(), got["y"].to_numpy()[order].astype(float)
     del got
-    return train([texts[i] for i in order], y)
+    model = train([texts[i] for i in order], y)
+    del texts
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scorer(docs: DataFrame, model: Model):
