@@ -21,7 +21,6 @@ columns are ignored.  ``round_trip`` says that decoding gave the text back.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -289,25 +288,13 @@ class Decoder:
         return out
 
 
-_tools: dict[str, tuple[Encoder, Decoder]] = {}
-
-
-def _tool(model: Model) -> tuple[Encoder, Decoder]:
-    """The encoder and decoder of this process; what they know of words only saves time, so tasks may share it."""
-    key = hashlib.sha256(repr((sorted(model.score.items()), model.byte, model.prefix)).encode()).hexdigest()
-    if key not in _tools:
-        _tools.clear()
-        _tools[key] = (Encoder(model), Decoder(model))
-    return _tools[key]
-
-
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``ids``, ``n_tokens`` and ``round_trip`` of every document."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _tool(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for b in batches:
             for c in tk.chunks(b.column(1), BLOCK_BYTES):
                 ids, cut = encoder.block(c)
@@ -324,7 +311,7 @@ def decode(coded: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str
     shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decoder = _tool(shared.value)
+        decoder = Decoder(shared.value)
         for b in batches:
             lists = [np.array([i for i in x or () if i is not None and 0 <= i < len(decoder.size)], np.int64) for x in b.column(1).to_pylist()]
             cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
