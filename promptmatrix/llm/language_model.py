@@ -8,11 +8,12 @@ counts, add-one smoothed.  The score of an output after (x, y) is
 (r_x * c_1 + r_y * c_2) . u + b.
 
 Training is numpy alone: minibatches with shared noise words, AdaGrad, every
-task over its part of the learning documents and the parameters averaged over
-the tasks, in two rounds over two slices (each an eighth of all learning
-documents, so it grows with the corpus).  The normaliser of all pairs of
-context outputs is one batch of matrix products on the driver; scoring is then
-table lookups, and probabilities add up to one exactly.
+task over its part of the learning documents.  In each of eight rounds, one
+over each of eight slices, the tasks go on from the averages of parameters and
+of AdaGrad's sums, so every learning document trains the model once.  The
+normaliser of all pairs of context outputs is one batch of matrix products on
+the driver; scoring is then table lookups, and probabilities add up to one
+exactly.
 
 Counts of the most frequent words (a fixed number) are broadcast; the rest are
 joined, so nothing that grows with the corpus comes to the driver.
@@ -37,8 +38,8 @@ from promptmatrix.llm.session import bounded_batches, checkpointed
 
 #: Words that are outputs of the model, dimensions of its vectors, words whose counts are broadcast.
 WORDS, WIDTH, HEAD = 511, 24, 1 << 18
-#: Learning documents are cut into so many slices by a hash of the id; each round learns from one.
-SLICES, ROUNDS = 8, 2
+#: Learning documents are cut into so many slices by a hash of the id; each round learns from one, and there are as many rounds as slices.
+SLICES = 8
 _BATCH, _NOISE, _RATE = 4096, 48, 0.08
 _END = np.uint64(0x5851F42D4C957F2D)
 _SHAPES = 128
@@ -181,10 +182,10 @@ def noise(lex: Lexicon) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation over minibatches: a token against noise words shared by the batch."""
 
-    def __init__(self, p: Parameters, freq: np.ndarray, seed: int):
+    def __init__(self, p: Parameters, sums: Parameters, freq: np.ndarray, seed: int):
         self.p, self.log_noise = p, np.log(freq * _NOISE).astype(np.float32)
         self.draw, self.random = np.cumsum(freq), np.random.default_rng(seed)
-        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (p.context, p.scale, p.target, p.bias)]
+        self.sums = [sums.context, sums.scale, sums.target, sums.bias]
         self.seen = 0
 
     def _move(self, which: int, array: np.ndarray, rows, gradient: np.ndarray) -> None:
@@ -230,14 +231,16 @@ def sequences(c: tk.Chunk, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def train(docs: DataFrame, lex: Lexicon, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> Parameters:
     sc = docs.sparkSession.sparkContext
-    shared, freq, current = sc.broadcast(lex), noise(lex), start(lex)
+    shared, freq, current = sc.broadcast(lex), noise(lex), start(lex).pack()
+    half = len(current)
+    current = np.append(current, np.full(half, 1e-2, np.float32))  # parameters, then AdaGrad's sums: steps go on shrinking from round to round
     slice_of = F.pmod(F.xxhash64(F.lit("slice"), F.col(id_col)), F.lit(SLICES))
-    for turn in range(ROUNDS):
+    for turn in range(SLICES):
         sent = sc.broadcast(current)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            p = sent.value
-            trainer = Trainer(Parameters(p.context.copy(), p.scale.copy(), p.target.copy(), p.bias.copy()), freq, 11 + turn)
+            flat, size = sent.value, shared.value.size
+            trainer = Trainer(Parameters.unpack(flat[:half], size), Parameters.unpack(flat[half:], size), freq, 11 + turn)
             for b in batches:
                 for c in tk.chunks(b.column(0)):
                     w, x, y, _, _ = sequences(c, shared.value)
@@ -246,7 +249,7 @@ def train(docs: DataFrame, lex: Lexicon, learn: Column, id_col: str = "doc_id",
                         at = order[i : i + _BATCH]
                         trainer.step(w[at], x[at], y[at])
             if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.p.pack().tobytes()], pa.binary()), pa.array([float(trainer.seen)])], ["p", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(trainer.p.pack(), Parameters(*trainer.sums).pack()).tobytes()], pa.binary()), pa.array([float(trainer.seen)])], ["p", "n"])
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, weight = None, 0.0
@@ -262,8 +265,8 @@ def train(docs: DataFrame, lex: Lexicon, learn: Column, id_col: str = "doc_id",
         if got.num_rows:
             weights = got["n"].to_numpy()
             flat = sum(np.frombuffer(blob, np.float32).astype(np.float64) * n for blob, n in zip(got["p"].to_pylist(), weights, strict=True)) / weights.sum()
-            current = Parameters.unpack(flat.astype(np.float32), lex.size)
-    return current
+            current = flat.astype(np.float32)
+    return Parameters.unpack(current[:half], lex.size)
 
 
 @dataclass

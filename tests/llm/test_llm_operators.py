@@ -343,6 +343,14 @@ def test_model_probabilities_add_up(docs):
     assert np.allclose(p.sum(2), 1, atol=1e-3)
 
 
+@pytest.mark.parametrize("part", [0, 2, 7])
+def test_model_learns_from_every_slice(docs, part):
+    lex = language_model.lexicon(language_model.count(docs))
+    null = docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = docs.unionByName(null).where(F.pmod(F.xxhash64(F.lit("slice"), F.col("doc_id")), F.lit(language_model.SLICES)) == part)
+    assert rows.count() and not np.array_equal(language_model.train(rows, lex, F.lit(True)).pack(), language_model.start(lex).pack())
+
+
 def test_exact_search(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.standard_normal((300, 8)) * 0.3, np.repeat(rng.standard_normal((3, 8)), 20, 0)])
