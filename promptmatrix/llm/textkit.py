@@ -41,24 +41,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, _SEGMENT + 1)
-        for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, np.uint64(base & _M))
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            if name == "p":
-                _pow = out
-            else:
-                _inv = out
-    return _pow[:n], _inv[:n]
+#: A random code for each byte at each of 64 places of a word.
+_CODES = mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 @dataclass
@@ -126,16 +110,27 @@ def find_words(c: Chunk) -> Words:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial over random byte codes, scrambled with the length."""
+    """A 64-bit hash of each byte range (in order, not overlapping): a sum of random codes of byte and place, scrambled with the length."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _SEGMENT, "right")))
         a, b = int(start[i]), int(end[j - 1])
-        power, inverse = _powers(b - a + 1)
         total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[data[a:b]] * power[: b - a], out=total[1:])
-        out[i:j] = (total[end[i:j] - a] - total[start[i:j] - a]) * inverse[start[i:j] - a]
+        for x in range(a, b, _SEGMENT):  # one long word is many segments
+            y = min(b, x + _SEGMENT)
+            if x == a:
+                first = np.append(start[i:j], b)
+                place = np.arange(x, y) - np.repeat(first[:-1], np.diff(first))[: y - x]
+            else:
+                place = np.arange(x, y) - start[j - 1]
+            code = _CODES[(place & 63) << 8 | data[x:y]]
+            far = np.flatnonzero(place > 63)
+            if len(far):
+                code[far] = mix64(code[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(_BASE))
+            np.cumsum(code, out=total[x - a + 1 : y - a + 1])
+            total[x - a + 1 : y - a + 1] += total[x - a]
+        out[i:j] = total[end[i:j] - a] - total[start[i:j] - a]
         i = j
     return mix64(out + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
