@@ -7,8 +7,13 @@ of it is link text.  The container with the most points, after a discount for
 its own link density, is the article; an enclosing ``article`` element and
 siblings with enough points or plain headings belong to it.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-known by element, role or the words of class and id, and are left out before
-scoring.
+known by element, role or class and id, and are left out before scoring.  A
+name of a class or id counts only if all its words are such words or plain
+words of layout ("ad-box", not "share-price-table"), and not beside a name of
+good meaning on the same element; inside an ``article`` or ``main`` the words
+that an article can use itself ("legal", "notice") count only for blocks of
+link text.  Lists, sections and tables of link text are menus outside these
+two elements, and inside them only if element, role or name says so.
 
 White space (any Unicode white space, and ``<br>``) inside a block becomes one
 space; blocks are trimmed and joined by one space; empty blocks vanish.
@@ -19,64 +24,81 @@ rows are extracted each; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptmatrix.llm.session import bounded_batches, lean
+
 # Element names of HTML and the words that name what is not article text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style noscript template textarea iframe title svg canvas object math select noembed noframes xmp audio video".split())
+RAW = frozenset("script style noscript template textarea iframe title svg canvas select noembed noframes xmp audio video".split())
 DROPPED = frozenset("head nav footer aside form menu dialog button label datalist search fieldset".split())
 LEAVES = frozenset("p li td th pre blockquote dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promoted promotion banner nav navbar navigation menu menus submenu dropdown breadcrumb breadcrumbs crumbs "
-    "masthead topbar footer foot sidebar sidebars rail aside widget widgets comment comments commentlist disqus reply replies respond discussion notice notices cookie cookies consent gdpr alert alerts popup modal overlay lightbox "
-    "newsletter subscribe subscription signup signin login register share sharing sharebar social follow related recommended recommendations teaser teasers outbrain taboola pagination pager pagenav toolbar toc skip tagcloud hidden copyright legal disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promoted promotion nav navbar navigation menu menus submenu dropdown breadcrumb breadcrumbs crumbs "
+    "masthead topbar footer sidebar sidebars widget widgets comment comments commentlist disqus reply replies cookie cookies consent gdpr popup modal overlay lightbox "
+    "newsletter subscribe subscription sharing sharebar social related recommended recommendations outbrain taboola pagination pager pagenav toolbar tagcloud".split()
 )
+#: Words that name noise outside an article, and inside it only blocks of link text.
+WEAK = frozenset("banner rail aside respond discussion notice notices alert alerts signup signin login register share follow teaser teasers foot toc skip hidden copyright legal disclaimer".split())
+LAYOUT = frozenset("box container wrapper wrap list bar block area section inner outer top bottom left right item items unit slot panel group row col column link links button buttons icon icons site page global main post article entry content body text header title form thread count area zone strip cell holder primary secondary".split())
 GOOD = frozenset("article articlebody body content entry main page post text story blog prose".split())
+_SOUND = ("article", "main")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
-_FENCE = frozenset("ul ol dl table body html article section main div".split())
+_FENCE = tuple("ul ol dl table body html article section main div".split())
+
+
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Whether the names of a class or id say noise, weak noise, or something good."""
+    noise = weak = good = False
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name) if not w.isdigit()] or [name.lower()]
+        whole = "".join(words)
+        if whole in GOOD:
+            good = True
+        elif whole in NOISE or all(w in NOISE or w in LAYOUT for w in words) and any(w in NOISE for w in words):
+            noise = True
+        elif all(w in NOISE or w in WEAK or w in LAYOUT for w in words) and any(w in NOISE or w in WEAK for w in words):
+            weak = True
+    return noise, weak, good
 
 
 class _Page:
-    """Blocks with parent, tag and whether they are left out; runs of text with block, text and length of link text."""
+    """Blocks with parent, tag, whether they are left out, and what their names say; runs of text with block, text and length of link text."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.out, self.good = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.out, self.good, self.weak, self.menu, self.sound = [-1], ["#root"], [False], [False], [False], [False], [False]
         self.runs: list[tuple[int, str, int]] = []
 
     def add(self, parent: int, tag: str, attributes: str) -> int:
-        up = parent
-        while up > 0 and self.tag[up] != "article":
-            up = self.parent[up]
-        out, good = self.out[parent] or tag in DROPPED, False
+        out, good, weak, menu = self.out[parent] or tag in DROPPED, False, False, False
         if attributes and not out:
+            noise = False
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
                 if name in ("class", "id"):
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    names = set(re.split(r"[\s_-]+", value.lower()))
-                    if tag not in ("html", "body", "article", "main", *HEADINGS) and (words | names) & NOISE:
-                        out = True
-                    good = good or bool((words | names) & GOOD)
+                    found = _named(value)
+                    noise, weak, good = noise or found[0], weak or found[1], good or found[2]
                 elif name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     out = True
-            out = out or bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
-        out = out or tag == "header" and up <= 0
-        self.parent.append(parent)
-        self.tag.append(tag)
-        self.out.append(out)
-        self.good.append(good)
+            free = tag in ("html", "body", "article", "main", *HEADINGS) or good
+            out, weak = out or noise and not free or bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes)), weak and not free
+            menu = noise or weak
+        out = out or (tag == "header" or weak) and not self.sound[parent]
+        for column, value in ((self.parent, parent), (self.tag, tag), (self.out, out), (self.good, good), (self.weak, weak), (self.menu, menu), (self.sound, self.sound[parent] or tag in _SOUND)):
+            column.append(value)
         return len(self.tag) - 1
 
 
@@ -84,8 +106,12 @@ def parse(source: str) -> _Page:
     """The block tree of a page; unclosed and unopened tags are mended."""
     page = _Page()
     stack, text, links, in_link = [0], [], 0, 0
+    where: dict[str, list[int]] = {}  # the depths at which each tag is open, so that no search walks the stack
     raw, at = "", 0
 
+    def deepest(tags: Iterable[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     def flush() -> None:
         nonlocal links
         if text:
@@ -97,7 +123,8 @@ def parse(source: str) -> _Page:
 
     def close(depth: int) -> None:
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            where[page.tag[stack.pop()]].pop()
 
     def put(piece: str) -> None:
         nonlocal links
@@ -134,29 +161,24 @@ def parse(source: str) -> _Page:
             in_link = 0 if closing else 1
         elif tag in BLOCKS or tag in DROPPED:
             if closing:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if page.tag[stack[depth]] == tag:
-                        close(depth)
-                        break
-                    if page.tag[stack[depth]] in ("body", "html") or tag == "p" and page.tag[stack[depth]] in _FENCE or page.tag[stack[depth]] == "article" and tag in ("div", "section", "p"):
-                        break
+                depth = deepest((tag,))
+                walls = ("body", "html", *(_FENCE if tag == "p" else ()), *(("article",) if tag in ("div", "section", "p") else ()))
+                if depth and depth >= deepest(w for w in walls if w != tag):
+                    close(depth)
                 flush()
                 continue
             flush()
             if page.tag[stack[-1]] in ("p", *HEADINGS) and tag in BLOCKS:
                 close(len(stack) - 1)
-            for depth in range(len(stack) - 1, 0, -1):
-                inner = page.tag[stack[depth]]
-                if inner in _CLOSES.get(tag, ()):
-                    close(depth)
-                elif inner in _FENCE and inner not in _CLOSES.get(tag, ()):
-                    break
-            if tag == "body":
-                for depth, node in enumerate(stack):
-                    if page.tag[node] == "head":
-                        close(depth)
-                        break
+            if ends := _CLOSES.get(tag):
+                wall = deepest(f for f in _FENCE if f not in ends)
+                inside = [depths[i] for t in ends if (depths := where.get(t)) and (i := bisect.bisect_right(depths, wall)) < len(depths)]
+                if inside:
+                    close(min(inside))
+            if tag == "body" and where.get("head"):
+                close(where["head"][0])
             if tag != "hr":
+                where.setdefault(tag, []).append(len(stack))
                 stack.append(page.add(stack[-1], tag, attributes))
     if not raw and at < len(source):
         put(source[at:])
@@ -181,11 +203,11 @@ def main_text(source: str | None) -> str:
         while up > 0 and step < 6:
             points[up] += worth / (1 if step == 0 else 2 if step == 1 else 3 * step)
             up, step = parent[up], step + 1
-        up = node
-        while up >= 0:
-            size[up] += len(text)
-            linked[up] += links
-            up = parent[up]
+        size[node] += len(text)
+        linked[node] += links
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        size[parent[i]] += size[i]
+        linked[parent[i]] += linked[i]
     total = [(points[i] + (3 if page.good[i] or tag[i] in ("article", "main") else 0)) * (1 - linked[i] / size[i]) if size[i] and not page.out[i] and tag[i] not in LEAVES else -1.0 for i in range(n)]
     best = max(range(n), key=lambda i: (total[i], -i))
     if total[best] < 0:
@@ -204,19 +226,13 @@ def main_text(source: str | None) -> str:
             density = linked[i] / size[i]
             if total[i] >= bar and density < 0.3 or tag[i] in HEADINGS and density < 0.5 or tag[i] in LEAVES and tag[i] != "li" and density < 0.25 and size[i] > 80:
                 kept.add(i)
-    within = [False] * n
+    within, headed = [False] * n, [False] * n
     for i in range(n):
-        menu = tag[i] in ("ul", "ol", "div", "section", "dl", "table") and i not in kept and size[i] and linked[i] / size[i] > 0.6
-        within[i] = i in kept or (i > 0 and within[parent[i]] and not menu)
-    picked = []
-    for node, text, _ in runs:
-        if within[node]:
-            up, heads = node, tag[node] in HEADINGS
-            while up > 0 and tag[up] != "header":
-                up = parent[up]
-            if up <= 0 or heads:
-                picked.append(text)
-    return " ".join(picked)
+        dense = size[i] > 0 and linked[i] / size[i] > 0.6
+        menu = i not in kept and dense and (page.menu[i] or tag[i] in ("ul", "ol", "div", "section", "dl", "table") and not page.sound[i])
+        within[i] = i in kept or i > 0 and within[parent[i]] and not menu
+        headed[i] = tag[i] == "header" or i > 0 and headed[parent[i]]
+    return " ".join(text for node, text, _ in runs if within[node] and (not headed[node] or tag[node] in HEADINGS))
 
 
 def apply(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -227,5 +243,6 @@ def apply(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             texts = [main_text(h.as_py()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), F.col(html_col).cast("string").alias(html_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, `{url_col}` string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), f"`{id_col}` long, `{url_col}` string, text string, n_chars long")
