@@ -15,12 +15,15 @@ word sequence also starts anywhere else is removed.
    have equal witnesses, so a window whose witness is found once only is
    unique.  Spark counts the witnesses of all documents (one document stands
    for its exact copies).
-3. Windows with a shared witness are verified: their own hashes are counted.
-   Words under a window that is found twice are removed; a document that has
-   exact copies and at least one window is removed whole.
+3. Windows with a shared witness are verified: their own names, 128 bits over
+   all 35 words, are counted.  Words under a window that is found twice are
+   removed; a document that has exact copies and at least one window is removed
+   whole.
 
 Nothing is collected but the witnesses and window starts of one document, and
-every count is pre-aggregated before its shuffle.
+every count is pre-aggregated before its shuffle.  A witness or window that
+holds more than a 4096th of all rows is one of less than 4096; these few are
+broadcast, so no task gets more than that share of the rows by one key.
 
 Defined results: null and empty texts have no words and are left as they are;
 documents under 35 words lose nothing; repeated rows are copies of each other;
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_batches, checkpointed, stored
+from promptmatrix.llm.session import bounded_batches, checkpointed, lean, stored
 
 WINDOW = 35
 _ROUNDS, _COVER = 2, 8
@@ -49,6 +52,7 @@ _EDGE, _LONGEST = 3, _COVER - 1 + 2**_ROUNDS
 _PLACES = WINDOW - 2 * _EDGE - _LONGEST + 1
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLD, _OTHER = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_HOT = 4096
 
 
 def recompress(names: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,11 +100,13 @@ def _whole(cut: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def window_names(names: np.ndarray) -> np.ndarray:
+def window_names(names: np.ndarray, salt: int = 0) -> np.ndarray:
     """Hashes of the windows, by doubling: 35 = 32 + 2 + 1."""
     n = len(names) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if salt:
+        names = tk.mix64(names + np.uint64(salt * _GOLD & (1 << 64) - 1))
     parts, at, g = names[WINDOW - 1 :][:n].copy(), 32, names
     for size in (1, 2, 4, 8, 16):
         if size == 2:
@@ -153,11 +159,11 @@ def _survey(rows: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.first : c.first + c.n], pa.array(h1), pa.array(h2), pa.array(np.diff(w.cut)), flat, pa.array(twice, pa.int32())], ["key", "h1", "h2", "n", "found", "twice"])
 
-    return rows.mapInArrow(run, "key long, h1 long, h2 long, n long, found array<long>, twice int")
+    return rows.mapInArrow(lean(run), "key long, h1 long, h2 long, n long, found array<long>, twice int")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """From key, t, h1, h2, shared: hash, key and start of every window with a shared witness."""
+    """From key, t, h1, h2, shared: name (two hashes), key and start of every window with a shared witness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,8 +172,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
             for c in tk.chunks(b.column(1)):
                 w, h = _named(c)
                 h1, h2 = _whole_hash(h, w.cut)
-                (seen, _), whole = witnesses(h, w.cut), window_names(h)
-                keys, starts, hashes = [], [], []
+                (seen, _), whole, other = witnesses(h, w.cut), window_names(h), window_names(h, 1)
+                keys, starts, hashes, others = [], [], [], []
                 for i in range(c.n):
                     row = c.first + i
                     if h1[i] != want1[row] or h2[i] != want2[row]:
@@ -177,14 +183,23 @@ def _candidates(rows: DataFrame) -> DataFrame:
                     keys.append(np.full(len(at), row))
                     starts.append(at)
                     hashes.append(whole[x + at])
+                    others.append(other[x + at])
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), b.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(starts).astype(np.int32))], ["window", "key", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(others).view(np.int64)), b.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(starts).astype(np.int32))], ["window", "other", "key", "start"])
 
-    return rows.mapInArrow(run, "window long, key long, start int")
+    return rows.mapInArrow(lean(run), "window long, other long, key long, start int")
+
+
+def _among(rows: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose name is among ``names`` (with their number of ``rows``); the fewer than _HOT names that hold over a _HOT-th of them are broadcast."""
+    total = names.agg(F.sum("rows")).first()[0] or 0
+    heavy = F.col("rows") > total / _HOT
+    hot = F.broadcast(names.where(heavy).select(*by))
+    return rows.join(hot, by, "left_semi").unionAll(rows.join(hot, by, "left_anti").join(names.where(~heavy).select(*by), by, "left_semi"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and _n_words, _n_removed and _kept, the words left joined by one space."""
+    """The rows of ``docs`` as a struct ``doc``, and n_words, n_removed and kept, the words left joined by one space."""
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.col(text_col).cast("string")
@@ -196,28 +211,27 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     copies = checkpointed(surveyed.select("key", "h1", "h2").join(single.where("copies > 1").select("h1", "h2"), ["h1", "h2"]).select("key", "h1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")).distinct())
     drop_surveyed()
     seen = full.select("key", "h1", F.posexplode("found").alias("i", "name"), "twice").select("key", "h1", "name", F.when(F.col("i") < F.col("twice"), 2).otherwise(1).alias("times"))
-    often = seen.groupBy("name").agg(F.sum("times").alias("c")).where("c > 1").select("name")
-    shared = checkpointed(seen.join(often, "name").groupBy("key", "h1").agg(F.collect_list("name").alias("shared")))
+    often = checkpointed(seen.groupBy("name").agg(F.sum("times").alias("c"), F.count("*").alias("rows")).where("c > 1").select("name", "rows"))
+    shared = checkpointed(_among(seen, often, ["name"]).groupBy("key", "h1").agg(F.collect_list("name").alias("shared")))
     drop_full()
     _release(spark)
     suspects = single.select("key", "h1", "h2").join(shared, ["key", "h1"])
     windows, drop_windows = stored(_candidates(rows.join(suspects, "key").select("key", "t", "h1", "h2", "shared")))
     _release(spark)
-    again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    starts = windows.join(again, "window").groupBy("key").agg(F.collect_list("start").alias("starts"))
+    again = checkpointed(windows.groupBy("window", "other").agg(F.count("*").alias("rows")).where("rows > 1"))
+    starts = _among(windows, again, ["window", "other"]).groupBy("key").agg(F.collect_list("start").alias("starts"))
     found = starts.join(single.where("copies = 1").select("key", "h1"), "key").select("key", "h1", F.lit(False).alias("copy"), "starts")
     judged = checkpointed(found.unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("h1", "copy", "starts")).alias("judged")))
     drop_windows()
     _release(spark)
-    joined = docs.withColumns({"_key": key, "_text": text}).join(judged.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    width = len(docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())])
+    joined = docs.select(F.struct("*").alias("doc"), text.alias("t"), key.alias("key")).join(judged, "key", "left").select("doc", "t", "judged")
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            verdicts = b.column(width + 1)
-            for c in tk.chunks(b.column(width)):
+            verdicts = b.column(2)
+            for c in tk.chunks(b.column(1)):
                 w, h = _named(c)
                 h1, _ = _whole_hash(h, w.cut)
                 raw = c.data.tobytes()
@@ -238,25 +252,25 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     n_words.append(len(words))
                     n_removed.append(int(gone.sum()))
                     kept.append(b" ".join([word for word, out in zip(words, gone.tolist(), strict=True) if not out] if n_removed[-1] else words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words of every document."""
     slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return remove(slim, id_col, text_col).select(id_col, F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return remove(slim, id_col, text_col).select(F.col("doc").getField(id_col).alias(id_col), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated words taken out of the texts; a text that loses nothing stays as it is, and n_chars, if there, follows."""
-    out = remove(docs, id_col, text_col)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(text_col))
-    new = {text_col: text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(docs.columns)
+    lost = F.col("n_removed") > 0
+    columns = {c: F.col("doc").getField(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(lost, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    columns[text_col] = F.when(lost, F.col("kept")).otherwise(columns[text_col])
+    return remove(docs, id_col, text_col).select(*(c.alias(name) for name, c in columns.items()))
 
 
 ORACLE = r"""
