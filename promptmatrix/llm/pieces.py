@@ -21,6 +21,7 @@ columns are ignored.  ``round_trip`` says that decoding gave the text back.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_batches
+from promptmatrix.llm.session import bounded_batches, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of text whose distinct words are sorted together.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text whose distinct new words are sorted together, and ids that are spelled at once: they decide the memory of a task.
+BLOCK_BYTES, SPELLED_IDS = 1 << 20, 1 << 17
 #: Words whose ids a task keeps, about, besides those of its block.
-KNOWN_WORDS, KNOWN_PAIRS = 1 << 20, 1 << 18
+KNOWN_WORDS, KNOWN_PAIRS = 1 << 19, 1 << 17
 _NEVER = 1 << 60
 
 
@@ -95,25 +96,34 @@ class Encoder:
 
     # Merge models -------------------------------------------------------
 
-    def merge(self, text: str) -> list[str]:
-        """The merges themselves, best rank first and leftmost among equals; for single pieces and runs of marks."""
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The merges themselves, best rank first and leftmost among equals, and the last of them.
+
+        Pairs wait in a heap and parts are chained, so n characters cost n log n.
+        """
         parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], _NEVER))
-            if parts[best] + parts[best + 1] not in rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        n = len(parts)
+        before, after, last = list(range(-1, n - 1)), list(range(1, n + 1)), None
+        heap = [(rank[p], i, p) for i, p in enumerate(map("".join, zip(parts, parts[1:], strict=False))) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i] if parts[i] else n
+            if j >= n or parts[i] + parts[j] != whole:
+                continue  # one of the two has been merged since
+            last = (parts[i], parts[j])
+            parts[i], parts[j] = whole, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (pair := parts[a] + parts[b]) in rank:
+                    heapq.heappush(heap, (rank[pair], a, pair))
+        return [p for p in parts if p], last
 
     def _split(self, piece: str) -> None:
         """The two pieces that the last merge of ``piece`` joins, and whether the merges make the piece at all."""
-        parts, rank, last = list(piece), self.rank, None
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], _NEVER))
-            if parts[best] + parts[best + 1] not in rank:
-                break
-            last = (parts[best], parts[best + 1])
-            parts[best : best + 2] = [last[0] + last[1]]
+        parts, last = self.merge(piece)
         self.good[piece] = len(parts) == 1
         self.parts[piece] = last if len(parts) == 1 else None
 
@@ -169,7 +179,7 @@ class Encoder:
         for word in distinct:
             if merges and word.startswith(MARK * 2):  # equal ranks among runs of marks: the merges decide
                 ids: list[int] = []
-                for p in self.merge(word):
+                for p in self.merge(word)[0]:
                     n = number.get(p)
                     ids.extend([n] if n is not None else [byte[x] for x in p.encode()])
                 out.append(ids)
@@ -244,7 +254,8 @@ class Encoder:
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(data))
         names, first, which = np.unique(tk.word_hashes(data, begin, end), return_index=True, return_inverse=True)
-        new = ~np.isin(names, self.names, assume_unique=True)
+        place = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
+        new = self.names[place] != names if len(self.names) else np.ones(len(names), bool)
         self._learn(data, begin, end, names[new], first[new])
         place = np.searchsorted(self.names, names)
         at, size = self.at[place], self.size[place]
@@ -265,9 +276,8 @@ class Encoder:
         flat = np.fromiter((x for ids in coded for x in ids), np.int32, int(size.sum()))
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, flat])
-        names, at, size = np.concatenate([self.names, names]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(names)
-        self.names, self.at, self.size = names[order], at[order], size[order]
+        place = np.searchsorted(self.names, names)
+        self.names, self.at, self.size = np.insert(self.names, place, names), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
 
 class Decoder:
@@ -279,10 +289,14 @@ class Decoder:
 
     def block(self, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
         """The texts of id sequences laid end to end."""
-        n = self.size[ids]
-        to = np.concatenate([[0], np.cumsum(n)])
-        raw = self.bytes[np.repeat(self.at[ids] - to[:-1], n) + np.arange(to[-1])].tobytes()
-        out = []
+        to, parts = np.zeros(len(ids) + 1, np.int64), []
+        for x in range(0, len(ids), SPELLED_IDS):
+            own = ids[x : x + SPELLED_IDS]
+            n = self.size[own]
+            end = np.cumsum(n)
+            to[x + 1 : x + 1 + len(own)] = to[x] + end
+            parts.append(self.bytes[np.repeat(self.at[own] - end + n, n) + np.arange(end[-1])].tobytes())
+        raw, out = b"".join(parts), []
         for a, b in zip(to[cut[:-1]].tolist(), to[cut[1:]].tolist(), strict=True):
             out.append(raw[a + 1 : b] if self.prefix and raw[a : a + 1] == b" " and b > a else raw[a:b])
         return out
@@ -303,7 +317,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.first : c.first + c.n], pa.array(np.diff(cut)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids)), pa.array(back)], [id_col, "n_tokens", "ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(lean(run), f"`{id_col}` long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(coded: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -318,4 +332,4 @@ def decode(coded: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str
             texts = decoder.block(np.concatenate([*lists, np.zeros(0, np.int64)]), cut)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], [id_col, text_col])
 
-    return coded.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias(ids_col)).mapInArrow(run, f"`{id_col}` long, `{text_col}` string")
+    return coded.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias(ids_col)).mapInArrow(lean(run), f"`{id_col}` long, `{text_col}` string")
