@@ -1,6 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Every document of a source, in a shuffled order fixed by a hash of its id, has
+Every document of a source, in a shuffled order fixed by a hash of its id (of
+its text where that is null), has
 a virtual finish time: the source's words up to and with it, divided by the
 source's target.  A second round of the same order follows the first, so a
 source can be taken twice at most.  All finish times are put in one global
@@ -34,15 +35,14 @@ _LEVELS, _BITS = 3, 12
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with the columns that the mix needs: _size, _source (never null), _null, _key."""
+    """The rows of ``docs`` as a struct ``_doc``, with what the mix needs: _size, _source (never null), _null, _key."""
     source = F.col(source_col).cast("string")
-    return docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"),
-            "_source": F.coalesce(source, F.lit("")),
-            "_null": source.isNull(),
-            "_key": F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")),
-        }
+    return docs.select(
+        F.struct("*").alias("_doc"),
+        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.coalesce(source, F.lit("")).alias("_source"),
+        source.isNull().alias("_null"),
+        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).cast("binary")).alias("_key"),
     )
 
 
@@ -128,16 +128,15 @@ def apply(rows: DataFrame, plan: Plan) -> DataFrame:
     """``keyed`` rows (with any other columns) with size, source_size, target and taken."""
     cut = F.lit(plan.finish)
     within = lambda again: F.when((F.col("_size") > 0) & ((_finish(again) < cut) | ((_finish(again) == cut) & (F.col("_place") <= plan.place))), F.col("_size")).otherwise(F.lit(0))
-    own = {"size", "source_size", "target", "taken"}
-    placed = _placed(rows.drop(*own), plan.ledger, plan.digits)
+    placed = _placed(rows, plan.ledger, plan.digits)
     out = placed.withColumn("target", F.when(F.col("target") > 0, F.col("target"))).withColumns({"size": F.col("_size"), "taken": within(0) + within(1)})
     return out.withColumn("target", F.coalesce("target", F.lit(0.0))).drop("_size", "_source", "_null", "_key", "_bucket", "_before", "_place", "_upto")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    slim = checkpointed(keyed(docs.select(F.col(id_col), F.col(text_col), F.col(source_col)), id_col, text_col, source_col).select(id_col, "_size", "_source", "_null", "_key"))
-    return apply(slim, plan(slim)).select(id_col, "size", "source_size", "target", "taken")
+    slim = checkpointed(keyed(docs.select(F.col(id_col), F.col(text_col), F.col(source_col)), id_col, text_col, source_col).select(F.col("_doc").getField(id_col).alias("_id"), "_size", "_source", "_null", "_key"))
+    return apply(slim, plan(slim)).select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -145,14 +144,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     full = keyed(docs, id_col, text_col, source_col)
     slim = checkpointed(full.select("_size", "_source", "_null", "_key"))
     taken = apply(full, plan(slim)).where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
-    return taken.select(docs.columns)
+    return taken.select("_doc.*")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS z,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT s, z, sum(size)::BIGINT AS n FROM d GROUP BY s, z),
 p AS (SELECT *, row_number() OVER (ORDER BY z, s) AS place FROM s),
