@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one for each class.
 
-A dictionary is trained on words of toxic texts (those that hold a prefix far
-more frequent in toxic than in ordinary texts) and one on words of ordinary
-texts.  Each window of a text is compressed with both; the difference of the
+A dictionary is trained on words of toxic texts (those that are, or hold a
+prefix, far more frequent in toxic than in ordinary texts) and one on words of
+ordinary texts.  Each window of a text is compressed with both; the difference of the
 lengths is the window's distance.  A window is one lower-cased word between
 boundary marks, behind a fixed carrier that both dictionaries end with: the
 carrier keeps every block compressible, so the difference is what the word
@@ -31,15 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled
+from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled, lean, sampled_texts
 
-#: Labelled documents that dictionaries and thresholds are fitted on, at most.
-SAMPLE_ROWS = 8192
+#: Labelled documents that dictionaries and thresholds are fitted on, and bytes of their texts, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 8192, 64 << 20
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32 << 10, 4 << 10, 19
-#: Prefixes of 4 to 11 bytes count; toxic words hold one that is found in so many toxic texts and whose log odds exceed this.
-PREFIXES, LEAST_TEXTS, LEAST_ODDS = range(4, 12), 4, 3.0
+#: Prefixes of 4 to 11 bytes and whole words count; toxic words hold or are one that is found in so many toxic texts (a whole word, in so many) and whose log odds exceed this.
+PREFIXES, LEAST_TEXTS, LEAST_WHOLE, LEAST_ODDS = range(4, 12), 4, 16, 3.0
 
 _MARK = b" \x01\x02"
+_END = b" "
 _CARRIER = bytes(range(3, 9)) + bytes(range(14, 32))
 _LOW, _HIGH = -12, 20
 _CACHE_WORDS = 1 << 19
@@ -123,11 +124,11 @@ def train(texts: list[bytes], y: np.ndarray) -> Model:
         return flat
     low = tk.LOWER.tobytes()
     bags = lambda label: (set(t.translate(low).split()) for t, x in zip(texts, y, strict=True) if x == label)
-    prefix = lambda bag: {w[:p] for w in bag for p in PREFIXES if len(w) >= p}
+    prefix = lambda bag: {w[:p] for w in bag for p in PREFIXES if len(w) > p} | {w + _END for w in bag}
     toxic: Counter = Counter()
     for bag in bags(1):
         toxic.update(prefix(bag))
-    toxic = Counter({g: n for g, n in toxic.items() if n >= LEAST_TEXTS})
+    toxic = Counter({g: n for g, n in toxic.items() if n >= (LEAST_WHOLE if g.endswith(_END) else LEAST_TEXTS)})
     plain: Counter = Counter()
     seen = np.zeros(1 << 22, np.uint8)  # texts by a hash of the word, two at most: words of one text only are most of all, and not needed
     for bag in bags(0):
@@ -138,7 +139,7 @@ def train(texts: list[bytes], y: np.ndarray) -> Model:
     marked = {g for g in toxic if odds(g) > LEAST_ODDS}
     words: tuple[Counter, Counter] = (Counter(), Counter())
     for bag in bags(1):
-        words[1].update(w for w in bag if any(w[:p] in marked for p in PREFIXES))
+        words[1].update(w for w in bag if w + _END in marked or any(w[:p] in marked for p in PREFIXES if len(w) > p))
     for bag in bags(0):
         words[0].update(w for w in bag if seen[zlib.crc32(w) & len(seen) - 1] > 1)
     model = Model(_dictionary(Counter({w: n for w, n in words[0].items() if n > 1}), ORDINARY_BYTES), _dictionary(words[1], TOXIC_BYTES), flat.center, flat.scale, flat.weight)
@@ -158,10 +159,9 @@ def train(texts: list[bytes], y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``rows`` labelled documents for which ``learn`` (over the label rows) holds; their texts come to the driver."""
+    """Fits on at most ``rows`` labelled documents for which ``learn`` (over the label rows) holds; their texts, SAMPLE_BYTES at most, come to the driver."""
     chosen = bounded_sample(labelled(labels.where(learn), label, id_col), rows)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    got = docs.select(F.col(id_col).alias("id"), text.alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t").dropDuplicates(["id"]).toArrow()
+    got = sampled_texts(docs, chosen, SAMPLE_BYTES, id_col, text_col).toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     texts, y = got["t"].to_pylist(), got["y"].to_numpy()[order].astype(float)
     del got
@@ -195,7 +195,7 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"`{id_col}` long, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -207,4 +207,4 @@ def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for b in batches:
             yield b.filter(pa.array(score(b.column(place).cast(pa.string())) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
