@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled
+from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled, lean, sampled_texts
 
-#: Labelled documents that the model is fitted on, at most, and the places that n-grams are hashed to.
-SAMPLE_ROWS, BUCKETS = 4096, 1 << 18
+#: Labelled documents that the model is fitted on and bytes of their texts, at most, and the places that n-grams are hashed to.
+SAMPLE_ROWS, SAMPLE_BYTES, BUCKETS = 4096, 24 << 20, 1 << 18
 
 
 @dataclass
@@ -141,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.first : c.first + c.n], b.column(1)[c.first : c.first + c.n], pa.array([s.tobytes() for s in indicators(c)], pa.binary())], ["id", "y", "s"])
 
     chosen = bounded_sample(labelled(labels.where(learn), label, id_col), rows)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "id")
-    got = joined.select("id", "y", "t").mapInArrow(run, "id long, y int, s binary").dropDuplicates(["id"]).toArrow()
+    texts = sampled_texts(docs, chosen, SAMPLE_BYTES, id_col, text_col).select("id", "y", F.col("t").cast("string").alias("t"))
+    got = texts.mapInArrow(lean(run), "id long, y int, s binary").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     sets = [np.frombuffer(s, np.int32) for s in got["s"].to_pylist()]
     return train([sets[i] for i in order], got["y"].to_numpy()[order].astype(float))
@@ -160,4 +160,4 @@ def apply(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.first : c.first + c.n], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"`{id_col}` long, score double, predicted int")

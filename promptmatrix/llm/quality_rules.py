@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from promptmatrix.llm import gbt
 from promptmatrix.llm import textkit as tk
-from promptmatrix.llm.session import bounded_sample, labelled
+from promptmatrix.llm.session import bounded_batches, bounded_sample, labelled, lean
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE_ROWS = 8192
@@ -105,14 +105,14 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 _, x = measure(c)
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.first : c.first + c.n], b.column(1)[c.first : c.first + c.n], pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    return docs.select("id", "y", F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, y int, x array<double>")
+    return docs.select("id", "y", F.col(text_col).cast("string").alias("t")).mapInArrow(lean(run), "id long, y int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> gbt.Forest:
     """Trees fitted on at most ``rows`` labelled documents, whose features (not texts) come to the driver."""
     chosen = bounded_sample(labelled(labels, label), rows)
     joined = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id")
-    got = _features(joined, id_col, text_col).dropDuplicates(["id"]).toArrow()
+    got = _features(joined, id_col, text_col).groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).toArrow()  # an id with several texts: one of them
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return gbt.fit(x, got["y"].to_numpy()[order].astype(float), MONOTONE)
@@ -129,5 +129,6 @@ def apply(docs: DataFrame, forest: gbt.Forest, id_col: str = "doc_id", text_col:
                 score = forest.probability(x)
                 yield pa.RecordBatch.from_arrays([b.column(0)[c.first : c.first + c.n], *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= least))], [id_col, *BASE, "base_failed", "score", "kept"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, {', '.join(f'{b} long' for b in BASE)}, base_failed boolean, score double, kept boolean")
+    return rows.mapInArrow(lean(run), f"`{id_col}` long, {', '.join(f'{b} long' for b in BASE)}, base_failed boolean, score double, kept boolean")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -88,6 +89,18 @@ def test_words_and_hashes():
         assert len(set(names.values())) == len(names)
 
 
+def test_hashes_tell_balanced_words_apart():
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    texts = [a, b, a[:1024], b[:1024], "x" * 700_000, "x" * 700_001, "x" * 699_999 + "y"]
+    c = next(tk.chunks(pa.array([" ".join(texts)]), 1 << 30))
+    w = tk.find_words(c)
+    assert len(set(tk.word_hashes(c.data, w.start, w.end).tolist())) == len(texts)
+    alone = [tk.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0] for t in texts]
+    assert alone == tk.word_hashes(c.data, w.start, w.end).tolist()
+
+
 def base_counts(text):
     w = words(text)
     grams = Counter(zip(w, w[1:], w[2:], strict=False))
@@ -159,6 +172,38 @@ def test_near_duplicates(docs, none):
     assert near_dup.classes(none).count() == 0
 
 
+def test_near_duplicates_of_one_id_and_of_none(spark):
+    rng = random.Random(8)
+    lex = lexicon(rng)
+    texts = [" ".join(rng.choice(lex) for _ in range(60)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1] + " end"), (3, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3] + " end"), (4, ""), (4, ""), (None, ""), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "exact": F.lit(2), "doc": F.lit(3), "rep": F.lit(4)})
+    got = Counter((r.doc_id, r.class_id) for r in near_dup.classes(df).collect())
+    assert got == {(1, 1): 3, (2, 1): 1, (3, 3): 1, (None, 3): 1, (None, None): 5, (4, 4): 2}
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns and kept.select("key", "exact", "doc", "rep").distinct().collect() == [(1, 2, 3, 4)]
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    nameless = [(i, t) for (i, t) in left if i is None and t]
+    assert len(nameless) == 1 and nameless[0][1].startswith(texts[3])
+    del left[nameless[0]]
+    assert left == {(1, texts[0]): 1, (1, texts[1]): 1, (3, texts[2]): 1, (4, ""): 1, (None, ""): 1, (None, None): 2}
+
+
+def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """A chain of texts, each near the next only, all in few buckets: no pivot is near all of them."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
+    rng = random.Random(6)
+    text = ["w%d" % rng.randrange(10**6) for _ in range(100)]
+    rows = []
+    for i in range(30):
+        text = list(text)
+        for k in range(2):
+            text[(i * 7 + k) % 100] = "n%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(text)))
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same_classes({r.doc_id: r.class_id for r in got}, rows)
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
     rng = random.Random(5)
@@ -200,6 +245,23 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "plain & simple", "<p>short", "<div>a<div>b</div>c <b")] == ["", "", "plain & simple", "short", "a b c"]
 
 
+def test_html_keeps_what_belongs_to_the_article():
+    page = """<body><nav><a href=1>Home</a></nav><article class="content no-sidebar"><h1>T</h1><p>First sentence, with words.</p><math>a+b</math><ul><li><a href=1>Ref one</a><li><a href=2>Ref two</a></ul>
+    <div class="share-price-table">Price 5</div><p class="legal">Legal words, in the article.</p><div class="ad-box">buy</div><div class="share"><a href=1>Tweet</a></div><ul class="related-links"><li><a href=1>More</a></ul>
+    <div class="text sidebar"><p>Inner.</p></div><div class="comments"><p>great</p></div><object>fallback</object></article><p class="legal">All rights, reserved, by us.</p></body>"""
+    assert html_text.main_text(page) == "T First sentence, with words. a+b Ref one Ref two Price 5 Legal words, in the article. Inner. fallback"
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<blockquote>x", "<li>x", "</section>x", "<section>x</div>", "<a>x", "<!--x", "&lt;", "<p", "<article><section>x</div></p>"])
+def test_html_in_linear_time(part):
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_text("<body><article><blockquote>" + part * n)
+        return time.process_time() - began
+
+    assert seconds(20_000) < 2 + 12 * seconds(4_000)
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<article><p>Hi, é.</article>", "x"), (1, "u", "<article><p>Hi, é.</article>", "x"), (None, None, None, None), (3, "v", "", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -234,7 +296,10 @@ def test_substring_dedup(spark, seed, none):
 
 
 def test_substring_apply_leaves_clean_texts(docs):
-    out = {r.doc_id: r for r in substring_dedup.apply(docs).collect()}
+    own = docs.withColumns({"doc": F.lit(-1), "kept": F.lit(-2), "n_removed": F.lit(-3), "judged": F.lit(-4), "key": F.lit(-5)})
+    rows = substring_dedup.apply(own).collect()
+    assert {tuple(r[c] for c in ("doc", "kept", "n_removed", "judged", "key")) for r in rows} == {(-1, -2, -3, -4, -5)}
+    out = {r.doc_id: r for r in rows}
     removed = {i: n for i, _, n, _ in brute_substrings([(r.doc_id, r.text) for r in docs.collect()])}
     for r in docs.collect():
         assert out[r.doc_id].text == r.text if not removed[r.doc_id] else out[r.doc_id].n_chars == len(out[r.doc_id].text)
@@ -293,6 +358,18 @@ def test_pieces_match_the_library(spark, docs, none):
     assert pieces.encode(none, model).count() == 0
 
 
+def test_long_runs_of_spaces():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [" " * 3000 + "x", "a" + " " * 777 + "b" * 3000, "ab" * 5000, " " * 300_000]
+    encoder, decoder = pieces.Encoder(pieces.load()), pieces.Decoder(pieces.load())
+    for c in tk.chunks(pa.array(texts), 1):
+        ids, cut = encoder.block(c)
+        assert decoder.block(ids, cut) == [texts[c.first].encode()]
+        if c.first < 3:
+            assert ids.tolist() == library.encode(texts[c.first])
+
+
 def test_unigram_walk_is_the_best_segmentation():
     rng = random.Random(2)
     vocabulary = {"▁", *"abcd"} | {"".join(rng.choice("▁abcd") if k == 0 else rng.choice("abcd") for k in range(rng.randint(2, 4))) for _ in range(40)}
@@ -337,17 +414,49 @@ def test_language_model(docs, none, head, monkeypatch):
 
 def test_model_probabilities_add_up(docs):
     counts = language_model.count(docs)
-    lex = language_model.lexicon(counts)
-    t = language_model.tables(language_model.train(docs, lex, F.lit(True)))
+    lex = language_model.lexicon(counts, 20, 300)
+    t = language_model.tables(language_model.train(docs, lex, F.lit(True)), lex)
     p = 10.0 ** (t.near[:, None, :] + t.far[None, :, :] + t.bias - t.normal[:, :, None])[:40, :40]
     assert np.allclose(p.sum(2), 1, atol=1e-3)
+    place = np.arange(len(lex.inner_freq))
+    shape = np.repeat(np.arange(len(lex.inner_cut) - 1), np.diff(lex.inner_cut))
+    for x in (0, 3, 21):
+        inner = np.bincount(shape, 10.0 ** t.inner_score(place, shape, np.full(len(place), x)))
+        assert np.allclose(inner, 1, atol=1e-3)
 
 
-@pytest.mark.parametrize("part", [0, 2, 7])
+def test_scores_by_hand(docs, monkeypatch):
+    """The score of every document from the model's tables, token by token."""
+    monkeypatch.setattr(language_model, "HEAD", 200)
+    learn = session.remainder("doc_id", 7) != 2
+    kept = {}
+    tables = language_model.tables
+    monkeypatch.setattr(language_model, "tables", lambda p, lex: kept.setdefault("t", (tables(p, lex), lex))[0])
+    got = {(r.doc_id, r.n_tokens): r.score for r in language_model.score(docs, learn, words=20, inner_words=100).collect()}
+    t, lex = kept["t"]
+    count = {r["name"]: r["c"] for r in language_model.count(docs.where(learn)).collect()}
+    ends = lex.inner_cut[1:] - 1
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        _, h, shape = language_model.tokens(next(tk.chunks(pa.array([text.decode()]))))
+        out, place, _ = lex.look(h, shape)
+        x = y = 0
+        score = 0.0
+        for name, s, w, i in [*zip(h.view(np.int64).tolist(), shape, out, place, strict=True), (None, 0, 0, 0)]:
+            score += float(t.near[x, w] + t.far[y, w] + t.bias[w] - t.normal[x, y])
+            if w > 20:
+                score += float(t.inner_context[x] @ t.inner[i] + t.inner_bias[i] - t.inner_normal[s, x])
+                if i == ends[s]:
+                    score += math.log10((count.get(name, 0) + 1) / lex.inner_freq[i])
+            x, y = w, x
+        assert got[(r.doc_id, len(h) + 1)] == pytest.approx(score, rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("part", range(language_model.SLICES))
 def test_model_learns_from_every_slice(docs, part):
     lex = language_model.lexicon(language_model.count(docs))
     null = docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))
-    rows = docs.unionByName(null).where(F.pmod(F.xxhash64(F.lit("slice"), F.col("doc_id")), F.lit(language_model.SLICES)) == part)
+    rows = docs.unionByName(null).where(F.pmod(F.xxhash64(F.lit("slice"), F.col("doc_id"), F.octet_length("text")), F.lit(language_model.SLICES)) == part)
     assert rows.count() and not np.array_equal(language_model.train(rows, lex, F.lit(True)).pack(), language_model.start(lex).pack())
 
 
@@ -371,6 +480,29 @@ def test_exact_search(spark, monkeypatch):
     assert exact_search.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_clustered_vectors_are_pruned(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((24, 16))
+    v = centers[rng.integers(0, 24, 6000)] + 0.02 * rng.standard_normal((6000, 16))
+    x = np.floor(256 * v)
+    q = x[::50]
+    best, place, scored = exact_search.search(q, np.arange(0, 6000, 50), np.full(len(q), -np.inf), x, np.arange(6000), np.arange(6000), 5)
+    assert scored < 0.3 * len(q) * len(x)
+    if blocks > 1:
+        monkeypatch.setattr(exact_search, "DATA_BLOCK", 6000 // 24)
+        sent = []
+        searched = exact_search._searched
+        monkeypatch.setattr(exact_search, "_searched", lambda units, *a: sent.append(units.where("NOT asks").count()) or searched(units, *a))
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): r.score for r in exact_search.top_k(df, F.col("id") % 50 == 0).collect()}
+        assert sent[1] < 0.5 * 6000 * 24  # of all rows to all cells of queries
+        score = q @ x.T
+        score[np.arange(len(q)), np.arange(0, 6000, 50)] = -np.inf
+        top = -np.sort(-score, axis=1)[:, :5]
+        assert got == {(50 * i, r + 1): top[i, r] for i in range(len(q)) for r in range(5)}
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(2).standard_normal((700, 5))
     tree = exact_search.cover_tree(x)
@@ -380,6 +512,9 @@ def test_cover_tree_covers():
         assert (np.linalg.norm(x[rows] - x[tree.center[i]], axis=1) <= tree.radius[i] + 1e-6).all()
         if tree.children[i]:
             assert sum(tree.end[c] - tree.begin[c] for c in tree.children[i]) == len(rows)
+            centers = x[[tree.center[c] for c in tree.children[i]]]
+            apart = np.linalg.norm(centers[:, None] - centers[None], axis=2)[~np.eye(len(centers), dtype=bool)]
+            assert (apart >= max(tree.radius[c] for c in tree.children[i]) - 1e-6).all()
 
 
 def brute_mix(rows):
@@ -424,8 +559,9 @@ def test_mix_repeats_rows(docs):
     taken = Counter()
     for r in mixing.mix(docs).collect():
         taken[r.doc_id] += r.taken // r.size if r.size else 0
-    out = mixing.repeated(docs)
-    assert out.columns == docs.columns
+    own = docs.withColumns({"size": F.lit(-1), "taken": F.lit(-2), "_size": F.lit(-3), "_doc": F.lit(-4), "target": F.lit(-5)})
+    out = mixing.repeated(own)
+    assert out.columns == own.columns and {tuple(r) for r in out.select("size", "taken", "_size", "_doc", "target").collect()} == {(-1, -2, -3, -4, -5)}
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: n for i, n in taken.items() if n})
 
 
