@@ -10,7 +10,10 @@ _SPACE = r"[\s\x1c-\x1f\x85]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    """The text without white space at its ends; only a text whose first or last character may be white is searched."""
+    plain = r"^[\x21-\x7e]"
+    bare = F.substring(c, 1, 1).rlike(plain) & F.substring(c, -1, 1).rlike(plain)
+    return F.when(bare | c.isNull(), c).otherwise(F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", ""))
 
 
 def is_blank(c: Column) -> Column:

@@ -18,7 +18,17 @@ def scorecard(cells: DataFrame, criteria: list[dict], base_dir: str = ".") -> Da
     have = set(cells.columns)
     col = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
     inputs = Inputs(F.col("output"), col("expected"), col("human_label"), col("case_json"))
-    return cells.withColumn("scores", F.array(*(entry(name, weight, scorer(inputs)) for name, weight, scorer in scorers)))
+    return once(cells, "scores", F.array(*(entry(name, weight, scorer(inputs)) for name, weight, scorer in scorers)))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a dear column that filters and later expressions read but never work out again.
+
+    A filter above a plain projection takes the column's whole expression into
+    its condition, where common parts are not shared; a generator of one
+    element is passed by no filter that reads its output.
+    """
+    return rows.withColumn("_value", value).withColumn(name, F.explode(F.array("_value"))).drop("_value")
 
 
 def cell_score(scores: Column, error: Column) -> Column:

@@ -63,7 +63,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH cases AS (SELECT doc_id::VARCHAR AS case_id, doc_id AS case_pos, text, lang, n_chars FROM documents),
 cells AS (
-  SELECT v.variant, m.model, c.*, ((v.v_ord * 2 + m.m_ord) * (SELECT count(*) FROM cases) + c.case_pos)::BIGINT AS cell_ord, m.pin, m.pout
+  SELECT v.variant, m.model, c.*, ((v.v_ord * 2 + m.m_ord) * (SELECT max(case_pos) + 1 FROM cases) + c.case_pos)::BIGINT AS cell_ord, m.pin, m.pout
   FROM cases c, (VALUES ('plain', 0), ('tagged', 1)) v(variant, v_ord), (VALUES ('echo', 0, 0.5::DOUBLE, 1.5::DOUBLE), ('fixed', 1, 1.0::DOUBLE, 2.0::DOUBLE)) m(model, m_ord, pin, pout)),
 rendered AS (SELECT *, CASE variant WHEN 'plain' THEN text ELSE 'Lang ' || lang || ': ' || text END AS prompt FROM cells),
 called AS (
