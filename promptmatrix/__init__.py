@@ -4,15 +4,21 @@ Test cases x prompt variants x models become a table of cells; cells are
 rendered, completed, scored, aggregated and gated with DataFrame operators.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 
 from promptmatrix.errors import ConfigError, ContentError, MatrixError, ProviderError, ScoringError, SourceError, StoreError, TemplateError
-from promptmatrix.plans.run import Outcome, Selection, dry_run, estimate, rescore, run, selection_note
-from promptmatrix.sources.paged import Page
+from promptmatrix.export import write as export_run
+from promptmatrix.functions.text import hash_case_id
+from promptmatrix.operators.results import redacted
+from promptmatrix.operators.scoring import compare, gate, judged, matrix, overall
+from promptmatrix.plans.run import Outcome, Selection, Tally, cells, dry_run, estimate, fingerprint, load_cases, rescore, run, run_async, selection_note
+from promptmatrix.settings import resolve as resolve_settings
+from promptmatrix.sources.files import RESULT
+from promptmatrix.sources.paged import CaseSource, Page
 from promptmatrix.sources.store import Store
-from promptmatrix.spec import Case, Config, load, parse
+from promptmatrix.spec import Case, Config, Settings, load, parse
 
 __all__ = [
-    "Case", "Config", "ConfigError", "ContentError", "MatrixError", "Outcome", "Page", "ProviderError", "ScoringError", "Selection", "SourceError", "Store", "StoreError", "TemplateError",
-    "dry_run", "estimate", "load", "parse", "rescore", "run", "selection_note",
+    "RESULT", "Case", "CaseSource", "Config", "ConfigError", "ContentError", "MatrixError", "Outcome", "Page", "ProviderError", "ScoringError", "Selection", "Settings", "SourceError", "Store", "StoreError", "Tally", "TemplateError",
+    "cells", "compare", "dry_run", "estimate", "export_run", "fingerprint", "gate", "hash_case_id", "judged", "load", "load_cases", "matrix", "overall", "parse", "redacted", "rescore", "resolve_settings", "run", "run_async", "selection_note",
 ]

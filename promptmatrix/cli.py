@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix import export, secrets, spec, tools
+from promptmatrix import export, secrets, settings, spec, tools
 from promptmatrix.errors import MatrixError
 from promptmatrix.operators import results, scoring
 from promptmatrix.plans import run as runs
@@ -42,6 +42,9 @@ def session() -> SparkSession:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="promptmatrix")
     p.add_argument("--config", "-c", default="eval.yaml")
+    p.add_argument("--output-dir")
+    p.add_argument("--cache-dir")
+    p.add_argument("--concurrency", type=int)
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="evaluate")
     for s in (run, sub.add_parser("validate", help="render everything, call nothing")):
@@ -58,12 +61,14 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--dry-run", action="store_true")
     run.add_argument("--estimate", action="store_true")
     run.add_argument("--json", action="store_true")
+    run.add_argument("--progress", action="store_true", help="a line on standard error after each wave")
     run.add_argument("--request-log", help="a folder for a trace of the calls")
     show = sub.add_parser("show", help="a run")
     show.add_argument("ref", nargs="?", default="latest")
     show.add_argument("--failures", action="store_true")
     show.add_argument("--case")
     show.add_argument("--page", type=int)
+    show.add_argument("--full", action="store_true", help="longer texts")
     listing = sub.add_parser("list", help="the newest runs")
     listing.add_argument("--limit", type=int, default=20)
     compare = sub.add_parser("compare", help="two runs")
@@ -82,13 +87,43 @@ def parser() -> argparse.ArgumentParser:
     cal.add_argument("ref")
     cal.add_argument("labels")
     cal.add_argument("folder")
-    sub.add_parser("doctor", help="what would stop a run")
+    doctor = sub.add_parser("doctor", help="what would stop a run")
+    doctor.add_argument("--probe", action="store_true", help="call every model once")
     sub.add_parser("init", help="write a first configuration")
     return p
 
 
+#: Lines and characters of a text on the terminal: usually, and with --full.
+SHORT, FULL = (20, 2_000), (200, 20_000)
+
+
+def plain(text: str) -> str:
+    """Text that can not move the cursor or change colours: control characters are spelled out."""
+    return "".join(c if c in "\n\t" or c.isprintable() else c.encode("unicode_escape").decode() for c in text)
+
+
+def clipped(text: str, most: tuple[int, int] = SHORT) -> str:
+    """The first lines and characters of a text, and how much is left out."""
+    lines = plain(text).splitlines()
+    kept = "\n".join(lines[: most[0]])[: most[1]]
+    left = len("\n".join(lines)) - len(kept)
+    return kept + (f"\n… {left} more characters" if left > 0 else "")
+
+
+def progress(tally: runs.Tally) -> None:
+    print(f"{tally.cells} cells, {tally.passed} passed, {tally.errors} errors, {tally.cached} cached, ${tally.spent:.4f}", file=sys.stderr, flush=True)
+
+
+def show_case(rows: DataFrame, case_id: str, most: tuple[int, int]) -> None:
+    for r in results.drill_down(rows, case_id).collect():
+        print(f"{plain(r.variant)} / {plain(r.model)}: {'pass' if r.passed else 'FAIL'} {r.cell_score:.3f}")
+        print("  " + clipped(r.error or r.output or "", most).replace("\n", "\n  "))
+        for s in r.scores or []:
+            print(f"  - {plain(s.criterion)}: {'pass' if s.passed else 'fail'} {plain(s.error or s.detail or '')[:200]}".rstrip())
+
+
 def show_table(df: DataFrame) -> None:
-    rows = [df.columns, *([("" if v is None else str(v)[:60]) for v in r] for r in df.collect())]
+    rows = [df.columns, *([("" if v is None else plain(str(v)).replace("\n", " ")[:60]) for v in r] for r in df.collect())]
     width = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
     for r in rows:
         print("  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip())
@@ -112,11 +147,14 @@ def execute(args: argparse.Namespace) -> int:
         return 0
     if args.command == "doctor":
         checks = tools.diagnose(args.config)
+        if args.probe and all(c["ok"] for c in checks):
+            checks += tools.probe(args.config)
         for c in checks:
             print(f"{'ok  ' if c['ok'] else 'FAIL'} {c['check']} {c['detail']}".rstrip())
         return 0 if all(c["ok"] for c in checks) else 1
-    config = spec.load(args.config)
-    store, spark = Store(config.base / config.settings.output_dir), session()
+    config = settings.resolve(spec.load(args.config), {"output_dir": args.output_dir, "cache_dir": args.cache_dir, "concurrency": args.concurrency})
+    spark = session()
+    store = Store(config.place(config.settings.output_dir))
     if args.command in ("run", "validate"):
         how = runs.Selection(args.variant, args.model, args.case, args.sample, args.sample_seed)
         if args.command == "validate" or args.dry_run:
@@ -129,9 +167,7 @@ def execute(args: argparse.Namespace) -> int:
             print(json.dumps(runs.estimate(spark, config, how)))
             return 0
         how.max_cost, how.fail_fast = args.max_cost, args.fail_fast
-        if isinstance(config.cases, spec.CaseSource) and config.cases.limit is None and args.max_cost is None:
-            raise spec.ConfigError("the case source has no limit: set cases.limit or --max-cost")
-        done = runs.run(spark, config, how, args.label, args.resume, False if args.no_cache else None, secrets.values(config.base), args.request_log)
+        done = runs.run(spark, config, how, args.label, args.resume, False if args.no_cache else None, secrets.values(config.base), args.request_log, secrets.keys(config), progress if args.progress else None)
         print(json.dumps(done.meta, default=str) if args.json else export.markdown(done.meta, done.results))
         good = done.meta["status"] == "complete" and done.meta["aggregates"]["overall"]["cases"] > 0 and done.passed is not False
         return 0 if good else 1
@@ -143,7 +179,7 @@ def execute(args: argparse.Namespace) -> int:
         print(store.set_baseline(args.ref) if args.ref else store.baseline() or "none")
         return 0
     if args.command == "cache":
-        responses = runs.Responses(config.base / config.settings.cache_dir)
+        responses = runs.Responses(config.place(config.settings.cache_dir))
         if args.older_than_days is not None:
             print(f"deleted {responses.prune(time.time() - args.older_than_days * 86400)} files")
         show_table(responses.stats(spark))
@@ -163,7 +199,7 @@ def execute(args: argparse.Namespace) -> int:
     if args.command == "show":
         brief = ["cell_ord", "variant", "model", "case_id", "passed", "cell_score", "error"]
         if args.case:
-            show_table(results.drill_down(rows, args.case).select("variant", "model", "passed", "cell_score", "output", "error"))
+            show_case(rows, args.case, FULL if args.full else SHORT)
         elif args.failures:
             show_table(results.failures(rows, 20).select(brief))
         elif args.page:

@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptmatrix.errors import ConfigError
 from promptmatrix.operators import results as r
 from promptmatrix.operators import scoring
 
@@ -128,3 +129,19 @@ def calibration_project(pairs: DataFrame) -> Iterator[tuple[str, str]]:
         "models:\n  - {id: judge-model, provider: mock, params: {response: '{\"score\": 1}'}}\nvariants:\n  - {name: strict, prompt: rubric_strict.yaml}\n  - {name: lenient, prompt: rubric_lenient.yaml}\n"
         "cases: {file: cases.jsonl}\nscorecard:\n  - {criterion: agrees, scorer: {type: agreement, mode: exact}}\n"
     )
+
+
+def write(meta: dict[str, Any], rows: DataFrame, form: str, path: str | None = None) -> str | None:
+    """A run as json, csv, md or html: into a file, or as text where no path is given (csv needs one)."""
+    if form == "csv":
+        write_csv(rows, path or f"{meta['id']}.csv")
+        return None
+    makers = {"json": lambda: as_json(meta, rows), "md": lambda: [markdown(meta, rows)], "html": lambda: [html_report(meta, rows)]}
+    if form not in makers:
+        raise ConfigError(f"no export as {form!r}: json, csv, md or html")
+    if path is None:
+        return "".join(makers[form]())
+    with open(path, "w", encoding="utf-8") as f:
+        for piece in makers[form]():
+            f.write(piece)
+    return None

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import asyncio
+import contextlib
 import hashlib
 import json
 import math
 import random
-from dataclasses import dataclass, field
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
@@ -24,11 +29,12 @@ from promptmatrix.functions.text import hash_case_id, scrub
 from promptmatrix.operators import matrix, requests, results, scoring
 from promptmatrix.providers import calls, stage
 from promptmatrix.sources import cases as case_files
-from promptmatrix.sources import files, paged
+from promptmatrix.sources import files, folders, paged
 from promptmatrix.sources.store import Store
+from promptmatrix.streaming import waves
 
-#: Cells that a wave of a capped run holds after its pilot, at most.
-WAVE = 64
+#: Waves of a run that makes calls, at least, and cells of a wave, at most: a crash loses one wave.
+WAVES, WAVE = 64, 1 << 14
 _MESSAGES = "array<struct<role:string, parts:array<struct<type:string, text:string, media_type:string, sha256:string, source:string>>>>"
 
 
@@ -98,11 +104,10 @@ def bind_config(spark: SparkSession, config: specs.Config, how: Selection) -> Bo
     if how.sample is not None:
         if streamed:
             raise ConfigError("cases of a source can not be sampled")
-        rows = [r[0] for r in table.select("case_pos").orderBy("case_pos").toLocalIterator()]
+        available = table.count()
         seed = how.seed if how.seed is not None else random.SystemRandom().getrandbits(32)
-        drawn = matrix.draw(len(rows), how.sample, seed)
-        table = matrix.sampled(table, [rows[i] for i in drawn])
-        selection, available = {"sample": how.sample, "seed": seed, "available": len(rows)}, len(rows)
+        table = matrix.sampled(table, matrix.draw(available, how.sample, seed))
+        selection = {"sample": how.sample, "seed": seed, "available": available}
     return Bound(config, variants, models, table, available, streamed, selection)
 
 
@@ -152,15 +157,30 @@ def rendered(bound: Bound) -> DataFrame:
     return cells.withColumn("_r", r).withColumns({"messages": F.from_json("_r.messages", _MESSAGES), "error": F.col("_r.error")}).drop("_r")
 
 
+def _first_page(spark: SparkSession, bound: Bound) -> Bound:
+    """The same with the first page of a case source only, fetched once."""
+    if not bound.streamed:
+        return bound
+    c = bound.config.cases
+    n = min(c.page_size, c.limit or c.page_size)
+    page = paged.cases(spark, c.source, bound.config.base, c.params, c.page_size, n)
+    return replace(bound, cases=_kept(page))
+
+
 def dry_run(spark: SparkSession, config: specs.Config, how: Selection | None = None) -> DataFrame:
-    """The key and render error of every cell; nothing is called."""
-    return rendered(bind_config(spark, config, how or Selection())).select("variant", "model", "case_id", "cell_ord", "error").orderBy("cell_ord")
+    """The key and render error of every cell, of a case source those of its first page; nothing is called."""
+    return rendered(_first_page(spark, bind_config(spark, config, how or Selection()))).select("variant", "model", "case_id", "cell_ord", "error").orderBy("cell_ord")
 
 
 def estimate(spark: SparkSession, config: specs.Config, how: Selection | None = None) -> dict[str, Any] | None:
     """Roughly what a run will cost, judges included; None if nothing has a price."""
-    bound = bind_config(spark, config, how or Selection())
+    whole = bind_config(spark, config, how or Selection())
+    bound = _first_page(spark, whole)
     n = bound.cases.count()
+    if whole.streamed:  # the source's own count, or its limit; else the first page stands for nothing more
+        said = paged.count(paged.load(config.cases.source, config.base, config.cases.params))
+        known_sizes = [x for x in (said, config.cases.limit) if x is not None]
+        n = min(known_sizes) if known_sizes else n
     first = rendered(bound).where(F.col("error").isNull()).groupBy("variant").agg(F.min_by(F.length(requests.message_text(F.col("messages"))), "cell_ord").alias("chars"))
     chars = {r["variant"]: r["chars"] or 0 for r in first.collect()}
     total, unpriced, known = 0.0, [], False
@@ -193,70 +213,97 @@ class Responses:
 
     SCHEMA = "request_key string, output string, input_tokens long, output_tokens long, cost_usd double, shard string"
 
-    def __init__(self, root: Path):
-        self.path = Path(root) / "responses"
+    def __init__(self, root: Path | str):
+        self.place = folders.Folder(root).sub("responses")
+
+    def _files(self) -> list[folders.Entry]:
+        return [f for f in self.place.walk() if f.name.endswith(".parquet")]
 
     def read(self, spark: SparkSession) -> DataFrame:
-        if not any(self.path.rglob("*.parquet")):
+        if not self._files():
             return spark.createDataFrame([], self.SCHEMA).drop("shard")
-        return spark.read.schema(self.SCHEMA).parquet(str(self.path)).drop("shard").dropDuplicates(["request_key"])
+        return spark.read.schema(self.SCHEMA).parquet(self.place.uri).drop("shard").dropDuplicates(["request_key"])
 
     def add(self, completed: DataFrame) -> None:
         kept = completed.where(F.col("error").isNull() & F.col("output").isNotNull())
-        kept.select(*(c.split()[0] for c in self.SCHEMA.split(", ")[:-1]), F.substring("request_key", 1, 2).alias("shard")).write.mode("append").partitionBy("shard").parquet(str(self.path))
+        kept.select(*(c.split()[0] for c in self.SCHEMA.split(", ")[:-1]), F.substring("request_key", 1, 2).alias("shard")).write.mode("append").partitionBy("shard").parquet(self.place.uri)
 
     def stats(self, spark: SparkSession) -> DataFrame:
-        if not any(self.path.rglob("*.parquet")):
+        """One row: entries, bytes, and when the oldest file was written."""
+        found = self._files()
+        if not found:
             return spark.createDataFrame([(0, 0, None)], "entries long, bytes long, oldest timestamp")
-        bytes_ = sum(p.stat().st_size for p in self.path.rglob("*.parquet"))
-        oldest = min(p.stat().st_mtime for p in self.path.rglob("*.parquet"))
-        return self.read(spark).agg(F.count("*").alias("entries"), F.lit(bytes_).cast("long").alias("bytes"), F.timestamp_seconds(F.lit(oldest)).alias("oldest"))
+        return self.read(spark).agg(F.count("*").alias("entries"), F.lit(sum(f.size for f in found)).cast("long").alias("bytes"), F.timestamp_seconds(F.lit(min(f.modified for f in found))).alias("oldest"))
 
     def prune(self, before: float) -> int:
         """Deletes files written before a time; returns how many."""
-        old = [p for p in self.path.rglob("*.parquet") if p.stat().st_mtime < before]
-        for p in old:
-            p.unlink()
+        old = [f for f in self._files() if f.modified < before]
+        for f in old:
+            self.place.delete(f.name)
         return len(old)
 
 
-def complete(spark: SparkSession, cells: DataFrame, models: list[specs.Model], base: Path, cache: Responses | None, secrets: list[str] | None = None) -> DataFrame:
+@dataclass
+class Caller:
+    """What calls need besides the cells: secret values to scrub, keys for providers, and how many may be in flight."""
+
+    secrets: list[str] = field(default_factory=list)
+    keys: dict[str, str] = field(default_factory=dict)
+    concurrency: int = 8
+
+
+def complete(spark: SparkSession, cells: DataFrame, models: list[specs.Model], base: Path, cache: Responses | None, caller: Caller | None = None) -> DataFrame:
     """Cells with output, usage, cost, error and cached: equal requests are called once, stored responses not at all."""
     key = None
     for m in models:
         one = requests.request_key(F.lit(spec_json(m)), F.col("messages"))
         key = F.when(F.col("model") == m.id, one) if key is None else key.when(F.col("model") == m.id, one)
     asked = cells.where(F.col("error").isNull()).withColumn("request_key", key)
-    dumps = [m.model_dump() for m in models]
+    dumps, caller = [m.model_dump() for m in models], caller or Caller()
     if cache is None:  # every cell is a call of its own
         asked = asked.withColumn("request_key", F.concat_ws(":", "request_key", F.col("cell_ord").cast("string")))
         known = spark.createDataFrame([], Responses.SCHEMA).drop("shard")
     else:
         known = cache.read(spark)
     looked = requests.with_cache(asked.select("request_key", "cell_ord", "model", "messages"), known)
-    fresh = stage.completions(requests.to_call(looked.select("request_key", "cell_ord", "model", "messages", "cached")), dumps, str(base), secrets)
+    fresh = stage.completions(requests.to_call(looked.select("request_key", "cell_ord", "model", "messages", "cached")), dumps, str(base), caller.secrets, caller.keys, caller.concurrency)
     fresh = _kept(fresh)
     if cache is not None:
         cache.add(fresh)
     first = requests.single_flight(looked.where("not cached").select("request_key", "cell_ord")).where("called").select("cell_ord", F.lit(True).alias("_first"))
-    hits = known.select("request_key", "output", "input_tokens", "output_tokens", "cost_usd", F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("_known"))
+    hits = known.select("request_key", "output", "input_tokens", "output_tokens", "cost_usd", F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"), F.lit(True).alias("_known"))
     every = fresh.withColumn("_known", F.lit(False)).unionByName(hits.join(asked.select("request_key").distinct(), "request_key", "left_semi"))
     done = asked.drop("error").join(every, "request_key", "left").join(first, "cell_ord", "left")
     served = F.col("error").isNull() & (F.col("_known") | F.col("_first").isNull())
     done = done.withColumn("cached", F.coalesce(served, F.lit(False)) if cache is not None else F.lit(False))
-    done = done.withColumn("latency_ms", F.when(~F.col("cached"), F.col("latency_ms"))).drop("_known", "_first", "request_key")
-    none = {"output": "string", "input_tokens": "long", "output_tokens": "long", "cost_usd": "double", "latency_ms": "double"}
+    done = done.withColumns({"latency_ms": F.when(~F.col("cached"), F.col("latency_ms")), "attempts": F.when(~F.col("cached"), F.col("attempts")).otherwise(0)}).drop("_known", "_first", "request_key")
+    none = {"output": "string", "input_tokens": "long", "output_tokens": "long", "cost_usd": "double", "latency_ms": "double", "attempts": "int"}
     failed = cells.where(F.col("error").isNotNull()).withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"cached": F.lit(False)})
     return done.unionByName(failed)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Calls must not run twice: their rows are written to the checkpoint folder before anything reads them."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir; only with a local master, as in tests, a temporary one where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ConfigError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            place = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(place)
+    return sc.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Calls must not run twice: their rows are written to the checkpoint folder before anything reads them."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -278,14 +325,23 @@ def _filled(rubric: list[tuple[str, list[tuple[str, str]]]], name: str):
     return fill
 
 
-def score(spark: SparkSession, done: DataFrame, config: specs.Config, cache: Responses | None, secrets: list[str] | None = None) -> tuple[DataFrame, float]:
-    """Cells with scores, and what the judges' calls cost."""
+@dataclass
+class Judged:
+    """What the judges' calls came to."""
+
+    cost: float = 0.0
+    calls: int = 0
+    attempts: int = 0
+
+
+def score(spark: SparkSession, done: DataFrame, config: specs.Config, cache: Responses | None, caller: Caller | None = None) -> tuple[DataFrame, Judged]:
+    """Cells with scores, and what the judges' calls came to."""
     head = F.to_json(F.struct(F.col("case_id").alias("id")))
     null = F.lit("null")
     case = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"vars":'), F.coalesce("vars", null), F.lit(',"expected":'), F.coalesce("expected", null), F.lit(',"human_label":'), F.coalesce("human_label", null), F.lit("}"))
     cells = done.withColumn("case_json", case)
     inputs = Inputs(F.col("output"), F.col("expected"), F.col("human_label"), F.col("case_json"))
-    entries, spent = [], 0.0
+    entries, spent = [], Judged()
     for number, c in enumerate(config.scorecard):
         params = c.scorer.params
         if c.scorer.type != "llm-judge":
@@ -299,14 +355,16 @@ def score(spark: SparkSession, done: DataFrame, config: specs.Config, cache: Res
         fill = _filled(rubric, params["judge"])
         asked = cells.where(F.col("error").isNull()).withColumn("_r", fill("output", "expected", "vars"))
         asked = asked.select("cell_ord", F.lit(model.id).alias("model"), F.from_json("_r.messages", _MESSAGES).alias("messages"), F.col("_r.error").alias("error"))
-        said = _kept(complete(spark, asked, [model], config.base, cache, secrets))
-        spent += said.where("not cached").agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0]
+        said = _kept(complete(spark, asked, [model], config.base, cache, caller))
+        made = F.col("attempts") > 0
+        cost, n, tries = said.agg(F.coalesce(F.sum(F.when(made & ~F.col("cached"), F.col("cost_usd"))), F.lit(0.0)), F.count_if(made & ~F.col("cached")), F.coalesce(F.sum("attempts"), F.lit(0))).first()
+        spent.cost, spent.calls, spent.attempts = spent.cost + cost, spent.calls + n, spent.attempts + tries
         cells = cells.join(said.select("cell_ord", F.col("output").alias(f"_said{number}"), F.col("error").alias(f"_fault{number}")), "cell_ord", "left")
         answer = bind("llm-judge", params)(Inputs(F.col(f"_said{number}"), F.col("expected"), F.col("human_label"), F.col("case_json")))
         fault = F.coalesce(F.col(f"_fault{number}"), answer["error"])
         entries.append(entry(c.criterion, c.weight, F.struct(answer["score"].alias("score"), answer["passed"].alias("passed"), answer["detail"].alias("detail"), fault.alias("error"))))
     scored = F.when(F.col("error").isNull(), F.array(*entries)).otherwise(F.array())
-    return cells.withColumn("scores", scored), spent
+    return scoring.once(cells, "scores", scored), spent
 
 
 def fingerprint(config: specs.Config) -> str:
@@ -337,20 +395,82 @@ def _stored(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
-def run(spark: SparkSession, config: specs.Config, how: Selection | None = None, label: str | None = None, resume: str | None = None, cache: bool | None = None, secrets: list[str] | None = None, request_log: str | None = None) -> Outcome:
+@dataclass
+class Tally:
+    """A run as far as it has come; handed to ``on_wave`` after each wave."""
+
+    cells: int = 0
+    passed: int = 0
+    errors: int = 0
+    cached: int = 0
+    score_sum: float = 0.0
+    cost_usd: float = 0.0
+    judge: Judged = field(default_factory=Judged)
+
+    @property
+    def spent(self) -> float:
+        return self.cost_usd + self.judge.cost
+
+    @property
+    def pass_rate(self) -> float:
+        return self.passed / self.cells if self.cells else 0.0
+
+
+def _plain(config: specs.Config, models: list[specs.Model]) -> bool:
+    """Whether a run makes no calls that cost anything to repeat: all its models are mocks that never fail."""
+    judges = {config.judges[c.scorer.params["judge"]].model for c in config.scorecard if c.scorer.type == "llm-judge"}
+    return all(stage.is_plain(m.model_dump()) for m in [*models, *(m for m in config.models if m.id in judges)])
+
+
+class Book:
+    """The rendered cells of a run, written once and in order, so that waves read ranges of them and nothing is rendered or fetched again."""
+
+    def __init__(self, cells: DataFrame):
+        ordered = cells.repartitionByRange("cell_ord").sortWithinPartitions("cell_ord")
+        spark = cells.sparkSession
+        self.path = f"{_shared(spark)}/{uuid.uuid4().hex}"
+        ordered.write.parquet(self.path)
+        self.cells = spark.read.schema(cells.schema).parquet(self.path)
+        self.count = self.cells.count()
+
+    def waves(self, size: Callable[[], int]) -> Iterator[DataFrame]:
+        """The cells in order, as many at a time as ``size`` says before each wave (0: no more)."""
+        after = -1
+        while n := size():
+            rest = self.cells.where(F.col("cell_ord") > after)
+            last = rest.select("cell_ord").orderBy("cell_ord").limit(n).agg(F.max("cell_ord")).first()[0]
+            if last is None:
+                return
+            yield rest.where(F.col("cell_ord") <= last)
+            after = last
+
+    def drop(self) -> None:
+        remove(self.cells.sparkSession, self.path)
+
+
+def run(
+    spark: SparkSession, config: specs.Config, how: Selection | None = None, label: str | None = None, resume: str | None = None, cache: bool | None = None, secrets: list[str] | None = None,
+    request_log: str | None = None, keys: dict[str, str] | None = None, on_wave: Callable[[Tally], None] | None = None,
+) -> Outcome:
     """Evaluates a configuration.
 
-    Without a cap all cells are one plan.  With ``max_cost`` or ``fail_fast``
-    cells go in waves by their order: a pilot of one, then as many as the rest
-    of the budget can surely pay at the dearest price seen.
+    Cells are rendered once and go in waves by their order; every wave's
+    results and responses are stored before the next begins, and ``on_wave``
+    hears of it.  A run whose models are plain mocks is one wave.  With
+    ``max_cost`` a pilot of one cell is followed by as many cells as the rest
+    of the budget can surely pay at the dearest price seen; with ``fail_fast``
+    waves double from one cell.  A case source is read page by page, each page
+    once, as far as waves ask for.  ``keys`` are credentials by the name of
+    their environment variable, for providers.
     """
     how = how or Selection()
     if how.max_cost is not None and (not math.isfinite(how.max_cost) or how.max_cost < 0):
         raise ConfigError("max_cost must be finite and not negative")
     if request_log and config.privacy.no_look:
         raise ConfigError("a private run keeps no trace of its calls")
-    root = config.base / config.settings.output_dir
-    store, private = Store(root), config.privacy.no_look
+    endless(config, how)
+    caller = Caller(secrets or [], keys or {}, config.settings.concurrency)
+    store, private = Store(config.place(config.settings.output_dir)), config.privacy.no_look
     sha = fingerprint(config)
     if resume:
         run_id = store.resolve(resume)
@@ -370,66 +490,122 @@ def run(spark: SparkSession, config: specs.Config, how: Selection | None = None,
     if config.thresholds.baseline:
         ref = "baseline" if config.thresholds.baseline == "regression" else config.thresholds.baseline
         baseline = store.meta(store.resolve(ref))["aggregates"]["overall"]
-    responses = Responses(config.base / config.settings.cache_dir) if (config.settings.cache if cache is None else cache) else None
-    cells = rendered(bound)
+    responses = Responses(config.place(config.settings.cache_dir)) if (config.settings.cache if cache is None else cache) else None
+    tally = Tally()
+    if resume and old["matrix"] != shape:
+        raise StoreError(f"run {run_id} covered another matrix")
     if resume:
-        if old["matrix"] != shape:
-            raise StoreError(f"run {run_id} covered another matrix")
         done = store.results(spark, run_id)
-        left = cells.withColumn("_id", hash_case_id(F.col("case_id"))) if private and not config.privacy.keep_case_ids else cells.withColumn("_id", F.col("case_id"))
-        cells = left.join(done.select("variant", "model", F.col("case_id").alias("_id")), ["variant", "model", "_id"], "left_anti").drop("_id")
-        spent = done.where("not cached").agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0] + (old.get("totals") or {}).get("judge_cost_usd", 0.0)
-        judge_cost = (old.get("totals") or {}).get("judge_cost_usd", 0.0)
+        before = old.get("totals") or {}
+        tally.cost_usd = done.where("not cached").agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0]
+        tally.judge = Judged(before.get("judge_cost_usd", 0.0), before.get("judge_calls", 0), before.get("judge_attempts", 0))
     else:
         run_id = store.create({"config_sha256": sha, "matrix": shape, "selection": bound.selection, "no_look": private}, label)
-        (store.path(run_id) / "config.snapshot.yaml").write_text(snapshot(config), encoding="utf-8")
-        spent, judge_cost = 0.0, 0.0
+        store.write_text(run_id, "config.snapshot.yaml", snapshot(config))
     python = tuple(c.criterion for c in config.scorecard if c.scorer.type == "python")
     warnings: list[str] = []
-
-    def wave(part: DataFrame) -> DataFrame:
-        nonlocal judge_cost
-        scored, cost = score(spark, complete(spark, part, bound.models, config.base, responses, secrets), config, responses, secrets)
-        judge_cost += cost
-        rows = _kept(_stored(scored))
+    dearest, failed, taken, stopped = 0.0, 0, 0, None
+    plain, capped = _plain(config, bound.models), how.max_cost is not None
+    total = 0
+
+    def size() -> int:
+        """Cells of the next wave; 0 ends the run."""
+        nonlocal stopped
+        if capped and tally.spent >= how.max_cost:
+            stopped = "budget"
+        elif how.fail_fast and failed:
+            stopped = "fail-fast"
+        if stopped:
+            return 0
+        most = max(1, min(WAVE, max(256, -(-total // WAVES))) if not plain else 1 << 62)
+        if capped:
+            most = 1 if not taken else min(most, WAVE, max(1, math.ceil((how.max_cost - tally.spent) / dearest)) if dearest else WAVE)
+        return min(most, max(1, taken)) if how.fail_fast else most
+
+    def wave(part: DataFrame) -> None:
+        nonlocal dearest, failed, taken
+        scored, judge = score(spark, complete(spark, part, bound.models, config.base, responses, caller), config, responses, caller)
+        kept = _kept(scored)
+        rows = _stored(kept)
         if request_log:  # as JSON lines; headers and keys are never part of a cell, and outputs are scrubbed already
-            trace = rows.where("not cached").select("model", "messages", "output", "error", "latency_ms")
-            scrubbed = scrub(F.to_json(F.struct("*")), secrets or [])
-            trace.select(scrubbed.alias("value")).write.mode("append").text(request_log)
+            trace = kept.where("not cached").select("model", "messages", "output", "error", "latency_ms", "attempts")
+            trace.select(scrub(F.to_json(F.struct("*")), caller.secrets).alias("value")).write.mode("append").text(request_log)
+        media = files.attached(rows) if not private else None
         store.append(run_id, results.redacted(rows, config.privacy.keep_case_ids, python) if private else rows)
-        return rows
-
-    stopped = None
-    if how.max_cost is None and not how.fail_fast:
-        wave(cells)
+        if media is not None:
+            store.keep_artifacts(run_id, media)
+        judged = scoring.judged(rows)
+        n, ok, bad, hits, points, cost, unpriced = judged.agg(
+            F.count("*"), F.count_if("passed"), F.count_if(F.col("error").isNotNull()), F.count_if("cached"), F.coalesce(F.sum("cell_score"), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~F.col("cached"), F.col("cost_usd"))), F.lit(0.0)), F.count_if(F.col("error").isNull() & F.col("cost_usd").isNull()),
+        ).first()
+        tally.cells, tally.passed, tally.errors, tally.cached = tally.cells + n, tally.passed + ok, tally.errors + bad, tally.cached + hits
+        tally.score_sum, tally.cost_usd = tally.score_sum + points, tally.cost_usd + cost
+        tally.judge = Judged(tally.judge.cost + judge.cost, tally.judge.calls + judge.calls, tally.judge.attempts + judge.attempts)
+        failed, taken = failed + n - ok, taken + n
+        dearest = max(dearest, (cost + judge.cost) / n) if n else dearest
+        if unpriced and capped and not warnings:
+            warnings.append("some calls have no known cost, so the cap can not hold them")
+        if on_wave:
+            with contextlib.suppress(Exception):  # a listener's fault is not the run's
+                on_wave(replace(tally))
+
+    def through(cells: DataFrame) -> None:
+        """All waves of these cells; one where calls cost nothing."""
+        nonlocal total
+        if plain and not capped and not how.fail_fast:
+            wave(_kept(cells))  # rendered once, and not again by every branch of the plan
+            return
+        book = Book(cells)
+        total = max(total, book.count)
+        for part in book.waves(size):
+            wave(part)
+        book.drop()
+
+    if bound.streamed:
+        drained = waves.drain(spark, config.cases.source, config.base, f"{_shared(spark)}/{uuid.uuid4().hex}", lambda page, _: through(rendered(replace(bound, cases=page))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: bool(size()))
+        if not drained and not stopped:
+            warnings.append("the case source gave no cases")
     else:
-        order = cells.select("cell_ord").orderBy("cell_ord")
-        pending = [r[0] for r in order.toLocalIterator()]
-        dearest, at = 0.0, 0
-        while at < len(pending):
-            if how.max_cost is not None and spent + judge_cost >= how.max_cost:
-                stopped = "budget"
-                break
-            size = 1 if how.fail_fast or at == 0 else WAVE if not dearest else max(1, min(WAVE, math.ceil((how.max_cost - spent - judge_cost) / dearest)))
-            batch = pending[at : at + size]
-            before = judge_cost
-            rows = wave(cells.where(F.col("cell_ord").isin(batch)))
-            cost, failed, unpriced = scoring.judged(rows).agg(F.coalesce(F.sum(F.when(~F.col("cached"), F.col("cost_usd"))), F.lit(0.0)), F.count_if(~F.col("passed")), F.count_if(F.col("error").isNull() & F.col("cost_usd").isNull())).first()
-            spent, at = spent + cost, at + len(batch)
-            dearest = max(dearest, (cost + judge_cost - before) / len(batch))
-            if unpriced and how.max_cost is not None and not warnings:
-                warnings.append("some calls have no known cost, so the cap can not hold them")
-            if how.fail_fast and failed:
-                stopped = "fail-fast"
-                break
-    return finish(spark, store, run_id, config, baseline, judge_cost, stopped, warnings)
-
-
-def finish(spark: SparkSession, store: Store, run_id: str, config: specs.Config, baseline: dict | None, judge_cost: float, stopped: str | None, warnings: list[str]) -> Outcome:
+        cells = rendered(bound)
+        if resume:
+            left = cells.withColumn("_id", hash_case_id(F.col("case_id"))) if private and not config.privacy.keep_case_ids else cells.withColumn("_id", F.col("case_id"))
+            cells = left.join(done.select("variant", "model", F.col("case_id").alias("_id")), ["variant", "model", "_id"], "left_anti").drop("_id")
+        through(cells)
+    return finish(spark, store, run_id, config, baseline, tally.judge, stopped, warnings)
+
+
+def endless(config: specs.Config, how: Selection) -> None:
+    """Refuses a run that nothing ends: a case source without a limit and no cap on its cost."""
+    if isinstance(config.cases, specs.CaseSource) and config.cases.limit is None and how.max_cost is None:
+        source = paged.load(config.cases.source, config.base, config.cases.params)
+        if paged.count(source) is None:
+            raise ConfigError("the case source has no limit and no count: set cases.limit or max_cost")
+
+
+async def run_async(*arguments: Any, **named: Any) -> Outcome:
+    """``run`` in a thread of its own, for callers with an event loop."""
+    return await asyncio.to_thread(run, *arguments, **named)
+
+
+def load_cases(spark: SparkSession, config: specs.Config, how: Selection | None = None) -> DataFrame:
+    """The cases of a configuration as a table."""
+    return bind_config(spark, config, how or Selection()).cases
+
+
+def cells(spark: SparkSession, config: specs.Config, how: Selection | None = None) -> DataFrame:
+    """The cells that a run would cover, not rendered: variant, model, case_id, cell_ord."""
+    bound = bind_config(spark, config, how or Selection())
+    models = matrix.names(spark, "model", [m.id for m in bound.models], "m_ord")
+    variants = matrix.names(spark, "variant", [n for n, _ in bound.variants], "v_ord")
+    return matrix.product(variants, models, bound.cases, case_major=bound.streamed).select(*matrix.KEY, "cell_ord")
+
+
+def finish(spark: SparkSession, store: Store, run_id: str, config: specs.Config, baseline: dict | None, judge: Judged, stopped: str | None, warnings: list[str]) -> Outcome:
     rows = scoring.judged(store.results(spark, run_id))
     whole = scoring.overall(rows)
     aggregates = {"overall": whole.first().asDict(), "matrix": [r.asDict() for r in scoring.matrix(rows).collect()]}
-    totals = scoring.totals(rows).first().asDict() | {"judge_cost_usd": round(judge_cost, 10)}
+    totals = scoring.totals(rows).first().asDict() | {"judge_cost_usd": round(judge.cost, 10), "judge_calls": judge.calls, "judge_attempts": judge.attempts}
     base = spark.createDataFrame([(baseline["score"], baseline["pass_rate"])], "score double, pass_rate double") if baseline else None
     checks = [r.asDict() for r in scoring.gate(whole, config.thresholds.min_pass_rate, config.thresholds.min_score, base).collect()]
     gate = {"passed": all(c["passed"] for c in checks), "checks": checks} if checks else None
@@ -440,7 +616,7 @@ def finish(spark: SparkSession, store: Store, run_id: str, config: specs.Config,
 def rescore(spark: SparkSession, config: specs.Config, run_id: str) -> DataFrame:
     """Stored outputs graded anew by the scorecard of a configuration; nothing is called."""
     cases = bind_config(spark, config, Selection()).cases.select("case_id", "vars", "expected", "human_label")
-    rows = Store(config.base / config.settings.output_dir).results(spark, run_id).drop("scores").join(cases, "case_id")
+    rows = Store(config.place(config.settings.output_dir)).results(spark, run_id).drop("scores").join(cases, "case_id")
     return scoring.judged(score(spark, rows, config, None)[0])
 
 
@@ -459,4 +635,4 @@ def selection_note(a: dict[str, Any], b: dict[str, Any]) -> str | None:
     return "the runs covered different cases" if all(ids) and ids[0] != ids[1] else None
 
 
-__all__ = ["Bound", "Outcome", "Responses", "Selection", "dry_run", "estimate", "rescore", "run", "selection_note"]
+__all__ = ["Bound", "Caller", "Outcome", "Responses", "Selection", "Tally", "dry_run", "estimate", "rescore", "run", "selection_note"]

@@ -7,6 +7,7 @@ import json
 import math
 import os
 import subprocess
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -233,17 +234,42 @@ def with_retries(call: Callable[[], Any], attempts: int = 3, sleep: Callable[[fl
 
 
 class RateLimit:
-    """At most ``per_minute`` calls in any trailing minute."""
+    """At most ``per_minute`` calls in any trailing minute, from any number of threads."""
 
     def __init__(self, per_minute: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.per_minute, self.clock, self.sleep, self.times = per_minute, clock, sleep, deque()
+        self.per_minute, self.clock, self.sleep, self.times, self.lock = per_minute, clock, sleep, deque(), threading.Lock()
 
     def wait(self) -> None:
         while True:
-            now = self.clock()
-            while self.times and now - self.times[0] >= 60:
-                self.times.popleft()
-            if len(self.times) < self.per_minute:
-                self.times.append(now)
-                return
-            self.sleep(60 - (now - self.times[0]))
+            with self.lock:
+                now = self.clock()
+                while self.times and now - self.times[0] >= 60:
+                    self.times.popleft()
+                if len(self.times) < self.per_minute:
+                    self.times.append(now)
+                    return
+                rest = 60 - (now - self.times[0])
+            self.sleep(rest)
+
+
+@dataclass(frozen=True)
+class Share:
+    """How the calls of a model are spread: tasks, calls in flight in each, calls a minute of task i."""
+
+    tasks: int
+    in_flight: int
+    per_minute: int | None
+
+    def rate_of(self, task: int) -> int | None:
+        """The parts of all tasks add up to the model's rate."""
+        if self.per_minute is None:
+            return None
+        return self.per_minute // self.tasks + (task % self.tasks < self.per_minute % self.tasks)
+
+
+def share(spec: dict[str, Any], concurrency: int, models: int, cores: int) -> Share:
+    """The share of one of ``models`` called models in a run that has ``concurrency`` calls in flight at most."""
+    most = max(1, min(int(spec.get("max_concurrency") or concurrency), concurrency // max(1, models) or 1))
+    rate = spec.get("requests_per_minute")
+    tasks = max(1, min(most, cores, int(rate) if rate else most))
+    return Share(tasks, max(1, most // tasks), int(rate) if rate else None)

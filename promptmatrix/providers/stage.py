@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +20,11 @@ from promptmatrix.functions.text import scrub
 from promptmatrix.operators import requests
 from promptmatrix.providers import calls
 
-COMPLETION = "request_key string, output string, input_tokens long, output_tokens long, cost_usd double, latency_ms double, error string"
+COMPLETION = "request_key string, output string, input_tokens long, output_tokens long, cost_usd double, latency_ms double, error string, attempts int"
 
 
-def _plain_mock(spec: dict[str, Any]) -> bool:
+def is_plain(spec: dict[str, Any]) -> bool:
+    """A mock that never fails, which needs no calls."""
     return spec["provider"] == "mock" and not {"error", "fail_times"} & set(spec.get("params") or {})
 
 
@@ -30,47 +34,52 @@ def native_mock(asked: DataFrame, spec: dict[str, Any]) -> DataFrame:
     said = F.lit(str(params["response"])) if "response" in params else requests.echo_last_user(F.col("messages"))
     return asked.withColumn("output", said).select(
         "request_key", "output", requests.quarter(F.length(requests.message_text(F.col("messages")))).alias("input_tokens"), requests.quarter(F.length("output")).alias("output_tokens"),
-        F.lit(float(params.get("cost", 0.0))).alias("cost_usd"), F.lit(0.0).alias("latency_ms"), F.lit(None).cast("string").alias("error"),
+        F.lit(float(params.get("cost", 0.0))).alias("cost_usd"), F.lit(0.0).alias("latency_ms"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"),
     )
 
 
-def called(asked: DataFrame, spec: dict[str, Any], base: str, safe_errors: bool = False) -> DataFrame:
-    """Calls of one model.  Its caps decide the tasks: max_concurrency tasks at most, the rate shared among them."""
-    tasks = max(1, int(spec.get("max_concurrency") or 4))
-    rate = spec.get("requests_per_minute")
+def called(asked: DataFrame, spec: dict[str, Any], base: str, keys: dict[str, str] | None = None, concurrency: int = 8, models: int = 1) -> DataFrame:
+    """Calls of one model: spread over tasks, several in flight in each, never more together than the model's and the run's caps."""
+    part = calls.share(spec, concurrency, models, asked.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = calls.provider(spec, base)
-        limit = calls.RateLimit(max(1, rate // tasks)) if rate else None
+        model = calls.provider(spec, base, env={**os.environ, **(keys or {})})
+        here = TaskContext.get()
+        rate = part.rate_of(here.partitionId() if here else 0)
+        limit = calls.RateLimit(rate) if rate else None
         attempts = 3 if spec.get("max_retries") is None else int(spec["max_retries"]) + 1
-        for batch in batches:
-            rows = []
-            for key, sent in zip(batch["request_key"], batch["sent"], strict=True):
-                messages, began = json.loads(sent), time.monotonic()
-
-                def once(messages=messages):
-                    if limit:
-                        limit.wait()
-                    return model.complete(messages)
-
-                try:
-                    c = calls.with_retries(once, attempts)
-                    cost = c.cost_usd if c.cost_usd is not None else prices.cost(model.model, c.input_tokens, c.output_tokens, spec.get("params"))
-                    rows.append((key, c.text, c.input_tokens, c.output_tokens, cost, (time.monotonic() - began) * 1000, None))
-                except ProviderError as e:
-                    rows.append((key, None, None, None, None, (time.monotonic() - began) * 1000, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COMPLETION.split(", ")]).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
+
+        def one(key: str, sent: str) -> tuple:
+            messages, began, tried = json.loads(sent), time.monotonic(), []
+
+            def once() -> calls.Completion:
+                if limit:
+                    limit.wait()
+                tried.append(1)
+                return model.complete(messages)
+
+            try:
+                c = calls.with_retries(once, attempts)
+                cost = c.cost_usd if c.cost_usd is not None else prices.cost(model.model, c.input_tokens, c.output_tokens, spec.get("params"))
+                return key, c.text, c.input_tokens, c.output_tokens, cost, (time.monotonic() - began) * 1000, None, len(tried)
+            except ProviderError as e:
+                return key, None, None, None, None, (time.monotonic() - began) * 1000, f"{type(e).__name__}: {e}", len(tried)
+
+        with ThreadPoolExecutor(part.in_flight) as pool:
+            for batch in batches:
+                rows = list(pool.map(one, batch["request_key"], batch["sent"]))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in COMPLETION.split(", ")]).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
 
     one = asked.select("request_key", F.to_json("messages", {"ignoreNullFields": "false"}).alias("sent"))
-    return one.repartition(tasks).mapInPandas(run, COMPLETION)
+    return one.repartition(part.tasks).mapInPandas(run, COMPLETION)
 
 
-def completions(asked: DataFrame, specs: list[dict[str, Any]], base: str, secrets: list[str] | None = None) -> DataFrame:
+def completions(asked: DataFrame, specs: list[dict[str, Any]], base: str, secrets: list[str] | None = None, keys: dict[str, str] | None = None, concurrency: int = 8) -> DataFrame:
     """One completion for each request (request_key, model, messages); known secrets are scrubbed before anything is kept."""
-    out = None
+    out, models = None, sum(not is_plain(s) for s in specs)
     for spec in specs:
         own = asked.where(F.col("model") == spec["id"])
-        part = native_mock(own, spec) if _plain_mock(spec) else called(own, spec, base)
+        part = native_mock(own, spec) if is_plain(spec) else called(own, spec, base, keys, concurrency, models)
         out = part if out is None else out.unionByName(part)
     if out is not None and secrets:
         out = out.withColumns({"output": scrub(F.col("output"), secrets), "error": scrub(F.col("error"), secrets)})

@@ -11,11 +11,13 @@ import stat
 from pathlib import Path
 
 from promptmatrix.errors import ConfigError
-from promptmatrix.spec import read_yaml
+from promptmatrix.spec import Config, read_yaml
 
 VARIABLE, NAME = "PROMPTMATRIX_SECRETS", "promptmatrix.secrets.yaml"
 #: Shorter values are not replaced in texts: they would be found everywhere.
 LEAST = 8
+# The variables that hold the keys of providers by default.
+DEFAULT_KEYS = {"anthropic": "ANTHROPIC_API_KEY", "openai": "OPENAI_API_KEY", "openai-compatible": "OPENAI_API_KEY"}
 
 
 def user_path(env: dict[str, str]) -> Path:
@@ -40,6 +42,13 @@ def load(base: Path | str, env: dict[str, str] | None = None) -> tuple[dict[str,
     return out | env, warnings
 
 
+def keys(config: Config, env: dict[str, str] | None = None) -> dict[str, str]:
+    """What the configuration's providers need: the credentials of its models by variable, wherever they are kept."""
+    known, _ = load(config.base, env)
+    wanted = {m.api_key_env or DEFAULT_KEYS.get(m.provider) for m in config.models}
+    return {name: known[name] for name in wanted if name and known.get(name)}
+
+
 def values(base: Path | str, env: dict[str, str] | None = None) -> list[str]:
     """The secret values to scrub: those from files, and environment variables that are named like keys."""
     everything, _ = load(base, env)

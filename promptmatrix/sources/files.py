@@ -42,6 +42,13 @@ def media(spark: SparkSession, paths: list[str]) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.try_element_at(types, suffix).alias("media_type"), F.sha2("content", 256).alias("sha256"), "length")
 
 
+def attached(results: DataFrame) -> DataFrame | None:
+    """sha256, media_type and path of the media in the messages of results; None if there is none."""
+    parts = F.filter(F.flatten(F.transform(F.coalesce("messages", F.array().cast(results.schema["messages"].dataType)), lambda m: m["parts"])), lambda p: p["sha256"].isNotNull())
+    media = results.where(F.size(parts) > 0).select(F.explode(parts).alias("p")).select("p.sha256", "p.media_type", F.col("p.source").alias("path")).distinct()
+    return None if media.isEmpty() else media
+
+
 def coerced(value: Any) -> Any:
     """A label as a number where its text is one."""
     if not isinstance(value, str):
@@ -77,6 +84,26 @@ RESULT = (
 _LOG = RESULT.split(", scores ")[0] + ", scores map<string, struct<weight:double, score:double, passed:boolean, detail:string, error:string>>"
 
 
+def repair_log(path: Path | str) -> int:
+    """Cuts a last line without its line feed off a results log, so that more can be appended; returns the bytes cut.
+
+    Only the end of the file is read.
+    """
+    with open(path, "r+b") as f:
+        size, cut = f.seek(0, 2), 0
+        while cut < size:
+            step = min(1 << 16, size - cut)
+            f.seek(size - cut - step)
+            at = f.read(step).rfind(b"\n")
+            if at >= 0:
+                cut += step - at - 1
+                break
+            cut += step
+        if cut:
+            f.truncate(size - cut)
+    return cut
+
+
 def results_log(spark: SparkSession, path: str) -> DataFrame:
     """Results from a log with one JSON object a line and scores keyed by criterion.
 

@@ -1,10 +1,8 @@
-"""The run store: a folder with one folder a run, holding run.json and a Parquet table of results."""
+"""The run store: a folder with one folder a run, holding run.json, a Parquet table of results and its artifacts."""
 
 from __future__ import annotations
 
-import contextlib
 import json
-import os
 import secrets
 import time
 from datetime import datetime, timezone
@@ -12,42 +10,54 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promptmatrix.errors import StoreError
 from promptmatrix.sources.files import RESULT
+from promptmatrix.sources.folders import Folder
 
 RESERVED = frozenset({"latest", "baseline"})
+_ARTIFACT = "sha256 string, media_type string, path string, content binary"
 
 
-def write_json(path: Path, value: Any) -> None:
-    """Whole or not at all."""
-    part = path.with_name(f".{path.name}.{secrets.token_hex(4)}")
-    part.write_text(json.dumps(value, indent=2, sort_keys=True, default=str), encoding="utf-8")
-    os.replace(part, path)
+def _object(text: str | None) -> dict[str, Any] | None:
+    """A JSON object; None for anything else."""
+    try:
+        value = json.loads(text) if text else None
+    except json.JSONDecodeError:
+        return None
+    return value if isinstance(value, dict) else None
 
 
 class Store:
+    """Metadata through the folder's file system, tables through Spark at the same place, so executors of a cluster write where the driver looks."""
+
     def __init__(self, root: Path | str):
-        self.root = Path(root)
+        self.root = Folder(root)
 
-    def path(self, run_id: str) -> Path:
+    def _run(self, run_id: str) -> Folder:
         if not run_id or "/" in run_id or run_id.startswith("."):
             raise StoreError(f"not a run id: {run_id!r}")
-        return self.root / run_id
+        return self.root.sub(run_id)
+
+    def write_text(self, run_id: str, name: str, text: str) -> None:
+        self._run(run_id).write(name, text)
+
+    def _write(self, folder: Folder, name: str, value: Any) -> None:
+        folder.write(name, json.dumps(value, indent=2, sort_keys=True, default=str))
 
     def create(self, meta: dict[str, Any], label: str | None = None) -> str:
         if label in RESERVED:
             raise StoreError(f"label {label!r} is reserved")
         now = datetime.now(timezone.utc)
         run_id = f"{now:%Y%m%dT%H%M%S}{now.microsecond // 1000:03d}-{secrets.token_hex(2)}"
-        self.path(run_id).mkdir(parents=True)
         base = {"format_version": 1, "id": run_id, "label": label, "status": "running", "created_ns": time.time_ns(), "started_at": now.isoformat(timespec="seconds"), "finished_at": None}
-        write_json(self.path(run_id) / "run.json", base | meta)
+        self._write(self._run(run_id), "run.json", base | meta)
         return run_id
 
     def update(self, run_id: str, **new: Any) -> dict[str, Any]:
         meta = self.meta(run_id) | new
-        write_json(self.path(run_id) / "run.json", meta)
+        self._write(self._run(run_id), "run.json", meta)
         return meta
 
     def finalize(self, run_id: str, complete: bool, **new: Any) -> dict[str, Any]:
@@ -55,42 +65,50 @@ class Store:
         return self.update(run_id, status="complete" if complete else "incomplete", finished_at=done, **new)
 
     def meta(self, run_id: str) -> dict[str, Any]:
-        try:
-            return json.loads((self.path(run_id) / "run.json").read_text(encoding="utf-8"))
-        except (OSError, json.JSONDecodeError) as e:
-            raise StoreError(f"no such run: {run_id!r}") from e
+        found = _object(self._run(run_id).read("run.json"))
+        if found is None:
+            raise StoreError(f"no such run: {run_id!r}")
+        return found
 
     def append(self, run_id: str, results: DataFrame) -> None:
         """A wave of results; a wave is committed whole, so a killed run has no torn records."""
-        results.write.mode("append").parquet(str(self.path(run_id) / "results"))
+        results.write.mode("append").parquet(self._run(run_id).sub("results").uri)
 
     def results(self, spark: SparkSession, run_id: str) -> DataFrame:
         self.meta(run_id)
-        path = self.path(run_id) / "results"
-        if not path.exists():
+        place = self._run(run_id).sub("results")
+        if not place.exists():
             return spark.createDataFrame([], RESULT)
-        return spark.read.schema(RESULT).parquet(str(path)).dropDuplicates(["variant", "model", "case_id", "cell_ord"])
+        return spark.read.schema(RESULT).parquet(place.uri).dropDuplicates(["variant", "model", "case_id", "cell_ord"])
+
+    def keep_artifacts(self, run_id: str, media: DataFrame) -> None:
+        """Each attached content once a run, under its digest; ``media`` has sha256, media_type and path."""
+        spark = media.sparkSession
+        new = media.groupBy("sha256").agg(F.min("media_type").alias("media_type"), F.min("path").alias("path"))
+        new = new.join(self.artifacts(spark, run_id).select("sha256"), "sha256", "left_anti")
+        paths = [r[0] for r in new.select("path").toLocalIterator()]
+        if not paths:
+            return
+        content = spark.read.format("binaryFile").load(paths).select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
+        kept = new.join(content, "sha256").select("sha256", "media_type", "path", "content")
+        kept.write.mode("append").parquet(self._run(run_id).sub("artifacts").uri)
+
+    def artifacts(self, spark: SparkSession, run_id: str) -> DataFrame:
+        place = self._run(run_id).sub("artifacts")
+        return spark.read.schema(_ARTIFACT).parquet(place.uri) if place.exists() else spark.createDataFrame([], _ARTIFACT)
 
     def runs(self) -> list[dict[str, Any]]:
         """The readable runs, oldest first."""
-        found = []
-        for path in self.root.glob("*/run.json"):
-            with contextlib.suppress(OSError, json.JSONDecodeError):
-                meta = json.loads(path.read_text(encoding="utf-8"))
-                if isinstance(meta, dict) and "id" in meta:
-                    found.append(meta)
-        return sorted(found, key=lambda m: (m.get("created_ns") or 0, m["id"]))
+        found = [_object(self.root.sub(name).read("run.json")) for name in self.root.names()]
+        return sorted((m for m in found if m and "id" in m), key=lambda m: (m.get("created_ns") or 0, m["id"]))
 
     def set_baseline(self, ref: str) -> str:
         run_id = self.resolve(ref)
-        write_json(self.root / "baseline.json", {"id": run_id})
+        self._write(self.root, "baseline.json", {"id": run_id})
         return run_id
 
     def baseline(self) -> str | None:
-        try:
-            return json.loads((self.root / "baseline.json").read_text(encoding="utf-8"))["id"]
-        except (OSError, KeyError, json.JSONDecodeError):
-            return None
+        return (_object(self.root.read("baseline.json")) or {}).get("id")
 
     def resolve(self, ref: str) -> str:
         """The id of: latest, baseline, an id, or the last run created under a label."""

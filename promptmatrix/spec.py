@@ -20,8 +20,9 @@ class Strict(BaseModel):
 
 
 class Settings(Strict):
-    output_dir: Path = Path(".promptmatrix/runs")
-    cache_dir: Path = Path(".promptmatrix/cache")
+    #: Folders, from the configuration's own; or addresses of a shared file system (hdfs://, s3a://, file://).
+    output_dir: str = ".promptmatrix/runs"
+    cache_dir: str = ".promptmatrix/cache"
     concurrency: Annotated[int, Field(ge=1)] = 8
     cache: bool = True
 
@@ -143,6 +144,10 @@ class Config(Strict):
         """The folder that relative paths start from."""
         return self._base
 
+    def place(self, folder: str) -> str:
+        """Where a folder of the settings is."""
+        return folder if "://" in folder else str(self._base / folder)
+
     @model_validator(mode="after")
     def _parts_fit(self) -> Config:
         for what, names in (

@@ -12,24 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from promptmatrix.sources.paged import PagedCases
 
 
-def drain(spark: SparkSession, source: str, base: Path | str, checkpoint: str, wave: Callable[[DataFrame, int], None], params: dict[str, Any] | None = None, page_size: int = 100) -> int:
-    """Reads a source to its end; ``wave`` gets each page and its number, and the offset is the cursor, so a restart goes on where it stopped.
-
-    A page may be handed over again after a crash, under the same number; the
-    wave has to make writing it twice harmless, as the store does by its key.
+def drain(
+    spark: SparkSession, source: str, base: Path | str, checkpoint: str, wave: Callable[[DataFrame, int], None], params: dict[str, Any] | None = None, page_size: int = 100, limit: int | None = None, more: Callable[[], bool] = lambda: True
+) -> int:
+    """Reads a source to its end, its limit or until ``more`` says no; returns the pages read.
+
+    ``wave`` gets each page and its number, and the offset is the cursor, so a
+    restart goes on where it stopped.  A page may be handed over again after a
+    crash, under the same number; the wave has to make writing it twice
+    harmless, as the store does by its key.
     """
     spark.dataSource.register(PagedCases)
-    options = {"source": source, "base": str(base), "params": json.dumps(params or {}), "pageSize": str(page_size)}
+    options = {"source": source, "base": str(base), "params": json.dumps(params or {}), "pageSize": str(page_size)} | ({"limit": str(limit)} if limit else {})
     pages = 0
-    while True:
+    while more():
         arrived: list[int] = []
 
         def once(page: DataFrame, number: int, arrived=arrived) -> None:
             arrived.append(number)
-            wave(page, number)
+            kept = page.checkpoint(eager=True)  # one page; nothing after this asks the source for it again
+            wave(kept, number)
 
         stream = spark.readStream.format("paged_cases").options(**options).load().writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         stream.awaitTermination()
         if not arrived:
-            return pages
+            break
         pages += len(arrived)
+    return pages
