@@ -45,6 +45,8 @@ WORDS, WIDTH, HEAD = 511, 24, 1 << 18
 INNER, INNER_WIDTH = 16384, 12
 #: Learning documents are cut into so many slices by a hash of the id; each round learns from one, and there are as many rounds as slices.
 SLICES = 4
+#: Packed models that one task averages, about.
+FAN = 16
 _BATCH, _NOISE, _INNER_NOISE, _RATE = 4096, 48, 4, 0.08
 _END = np.uint64(0x5851F42D4C957F2D)
 _SHAPES = 128
@@ -338,7 +340,11 @@ def train(docs: DataFrame, lex: Lexicon, learn: Column, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(trainer.p.pack(), sums).astype(np.float32).tobytes()], pa.binary()), pa.array([float(trainer.seen)])], ["p", "n"])
 
         parts = docs.where(learn & (slice_of == turn)).select(F.col(text_col).cast("string")).mapInArrow(lean(run), "p binary, n double")
-        got = parts.repartition(16).mapInArrow(lean(_mean), "p binary, n double").repartition(1).mapInArrow(lean(_mean), "p binary, n double").toArrow()
+        n = parts.rdd.getNumPartitions()
+        while n > 1:  # a tree of means: a task reads about FAN of them, however many tasks train
+            n = -(-n // FAN)
+            parts = parts.repartition(n).mapInArrow(lean(_mean), "p binary, n double")
+        got = parts.toArrow()
         if got.num_rows:
             current = np.frombuffer(got["p"][0].as_py(), np.float32).copy()
         sent.unpersist()

@@ -287,23 +287,23 @@ def links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col:
     return found
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key, exact, n, and for rows with words ``label`` (the same for all of a class) of every row."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (id, key, exact, h1, h2, n), and a row for each distinct word sequence: h1, h2, ``label`` (the same for all of a class), its least id, and ``pick``, its first row as (nameless, key, exact)."""
     bounded_batches(docs.sparkSession)
     signed = checkpointed(_sign(docs, id_col, text_col))
-    worded = signed.where("n > 0")
-    grouped = checkpointed(worded.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    pick = F.struct(F.col("id").isNull().alias("nameless"), F.col("key").alias("key"), F.col("exact").alias("exact"))
+    grouped = checkpointed(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.min(pick).alias("pick"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     members = grouped.withColumn("rep", F.monotonically_increasing_id())  # over stored rows: the same on every read
     found = components(links(docs, members, id_col, text_col))
-    named = members.select("h1", "h2", "rep").join(found.select(F.col("id").alias("rep"), "label"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
-    return signed.drop("sig").join(named, ["h1", "h2"], "left").select("id", "key", "exact", "n", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+    named = members.select("h1", "h2", "rep", "least", "pick").join(found.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    return signed.drop("sig"), checkpointed(named.select("h1", "h2", F.coalesce("label", "rep").alias("label"), "least", "pick"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and its class, the least id that it is connected with."""
-    rows = checkpointed(_classed(docs, id_col, text_col))
-    least = rows.where("n > 0").groupBy("label").agg(F.min("id").alias("class_id"))
-    worded = rows.where("n > 0").join(least, "label").select(F.col("id").alias(id_col), "class_id")
+    rows, named = _classed(docs, id_col, text_col)
+    ids = named.join(named.groupBy("label").agg(F.min("least").alias("class_id")), "label").select("h1", "h2", "class_id")
+    worded = rows.where("n > 0").join(ids, ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id")
     return worded.unionAll(rows.where("n = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id")))
 
 
@@ -315,9 +315,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays.  Texts without words stay, once for each id; those without an id
     all stay.
     """
-    rows = checkpointed(_classed(docs, id_col, text_col))
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), F.col("key").alias("key"), F.col("exact").alias("exact")))
-    chosen = rows.where("n > 0").groupBy("label").agg(first.alias("f")).select("f.key", "f.exact")
+    rows, named = _classed(docs, id_col, text_col)
+    chosen = named.groupBy("label").agg(F.min("pick").alias("f")).select("f.key", "f.exact")
     empty = rows.where("n = 0 AND id IS NOT NULL").groupBy("key").agg(F.min("exact").alias("exact"))
     kept = chosen.unionByName(empty).select(F.col("key").alias("_kept_key"), F.col("exact").alias("_kept_exact")).distinct()
     _, text, key = _keyed(docs, id_col, text_col)
