@@ -65,10 +65,10 @@ def sampled(cases: DataFrame, positions: list[int], position: str = "case_pos")
     return numbered.join(drawn, "_place", "left_semi").select(cases.columns)
 
 
-def _listed(rows: DataFrame, order: str) -> Column:
-    """The few rows of a configuration table as an array of literals."""
+def _listed(rows: DataFrame, order: str) -> list[Column]:
+    """The few rows of a configuration table, in order, as literals."""
     fields = rows.schema.fields
-    return F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields)) for r in rows.orderBy(order).collect()))
+    return [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields)) for r in sorted(rows.collect(), key=lambda r: r[order])]
 
 
 def product(variants: DataFrame, models: DataFrame, cases: DataFrame, case_major: bool = False) -> DataFrame:
@@ -80,11 +80,11 @@ def product(variants: DataFrame, models: DataFrame, cases: DataFrame, case_major
     Positions of cases may have gaps; the order leaves room for the highest.
     """
     listed_v, listed_m = _listed(variants, "v_ord"), _listed(models, "m_ord")
-    n_models, n_variants = models.count(), variants.count()
+    n_models, n_variants = len(listed_m), len(listed_v)
     if not n_models or not n_variants:
         listed = cases.sparkSession.createDataFrame([], T.StructType([*variants.schema.fields, *models.schema.fields]))
         return cases.join(listed, how="cross").withColumn("cell_ord", F.lit(0).cast("long"))
-    cells = cases.withColumn("_v", F.explode(listed_v)).withColumn("_m", F.explode(listed_m)).select(*cases.columns, "_v.*", "_m.*")
+    cells = cases.withColumn("_v", F.explode(F.array(*listed_v))).withColumn("_m", F.explode(F.array(*listed_m))).select(*cases.columns, "_v.*", "_m.*")
     if case_major:
         order: Column = (F.col("case_pos") * n_variants + F.col("v_ord")) * n_models + F.col("m_ord")
     else:
@@ -112,4 +112,8 @@ def ids_digest(cases: DataFrame, id_col: str = "case_id", position: str = "case_
 
 
 def names(spark: SparkSession, column: str, values: list[str], order: str) -> DataFrame:
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{column} string, {order} long")
+    """Names of a configuration with their order, as a local table that needs no job to be read."""
+    if not values:
+        return spark.createDataFrame([], f"{column} string, {order} long")
+    rows = ", ".join(f"(:n{i}, {i}L)" for i in range(len(values)))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS named(`{column}`, `{order}`)", {f"n{i}": v for i, v in enumerate(values)})

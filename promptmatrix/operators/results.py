@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptmatrix.errors import ConfigError
@@ -126,3 +126,18 @@ def retrieved(questions: DataFrame, passages: DataFrame, k: int, stop: list[str]
     score = F.round(F.greatest(F.col("n") / (F.col("nq") + F.col("np") - F.col("n")), 0.5 * F.col("n") / F.col("nq")), 4)
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "p_id")
     return shared.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q_id", F.col("rank").cast("int").alias("rank"), "p_id", "score")
+
+
+def first_keyword(text: Column, rules: dict[str, str], otherwise: str) -> Column:
+    """The class of the first keyword that a text holds."""
+    out = F.lit(None).cast("string")
+    for word, name in reversed(rules.items()):
+        out = F.when(text.contains(word), F.lit(name)).otherwise(out)
+    return F.coalesce(out, F.lit(otherwise))
+
+
+def best_sentence(texts: DataFrame, key: str, text: str, question: list[str]) -> DataFrame:
+    """Of each text the sentence that shares most words with a question; the shortest of equals, then the first."""
+    parts = texts.select(key, F.posexplode(F.split(F.col(text), r"\.", -1)).alias("_i", "_s"))
+    hits = F.size(F.array_intersect(F.array_distinct(F.split(F.lower("_s"), " ", -1)), F.array(*(F.lit(w) for w in question))))
+    return parts.groupBy(key).agg(F.max_by("_s", F.struct(hits, -F.length("_s"), -F.col("_i"))).alias("_s")).select(key, F.trim("_s").alias("sentence"))

@@ -120,3 +120,18 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
         .withColumn("pass_rate_delta", F.round(F.col("pass_rate_b") - F.col("pass_rate_a"), 6))
         .orderBy("variant", "model")
     )
+
+
+def in_both(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+    """The groups of both runs."""
+    return a.select(*key).intersect(b.select(*key))
+
+
+def only_in(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+    """The groups of the first run that the second has not."""
+    return a.select(*key).subtract(b.select(*key))
+
+
+def of_both(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
+    """The records of two runs one after another, each with its ``run``."""
+    return a.withColumn("run", F.lit(name_a)).unionByName(b.withColumn("run", F.lit(name_b)))

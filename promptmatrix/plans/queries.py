@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,9 @@ from promptmatrix.functions import jsontext, prices, scorers, text
 from promptmatrix.operators import matrix, requests, results, scoring
 from promptmatrix.plans import demo
 from promptmatrix.plans.demo import table
+from promptmatrix.plans.registry import ORACLE, QUERIES, query
 from promptmatrix.streaming import incremental
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, base: bool = False) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = (demo.SQL if base else "") + sql
-        return f
-
-    return register
-
-
 # -- Matrix ---------------------------------------------------------------
 
 
@@ -59,12 +43,6 @@ def unknown_names(spark, d):
     return matrix.unknown_names(wanted, demo.cases(spark, d), "case_id")
 
 
-@query()
-def sample_positions(spark, d):
-    every = demo.cases(spark, d)
-    return matrix.sampled(every, matrix.draw(every.count(), 25, 7)).select("case_id", "case_pos")
-
-
 @query("SELECT variant, model, case_id FROM results WHERE case_pos % 3 <> 0", base=True)
 def resume_anti_join(spark, d):
     return matrix.remaining(demo.cells(spark, d), demo.cells(spark, d).where("case_pos % 3 = 0")).select(*matrix.KEY)
@@ -109,11 +87,11 @@ def token_count(spark, d):
 
 
 @query(
-    """SELECT doc_id, sha256('1' || chr(10) || 'mock' || chr(10) || '[{"role":"user","parts":[{"type":"text","text":"' || source || '"}]}]') AS request_key FROM documents"""
+    """SELECT doc_id, sha256('1' || chr(10) || 'mock' || chr(10) || '[{"role":"user","parts":[{"type":"text","text":' || to_json(text)::VARCHAR || '}]}]') AS request_key FROM documents"""
 )
 def request_key(spark, d):
     none = F.lit(None).cast("string")
-    part = F.struct(F.lit("text").alias("type"), F.col("source").alias("text"), none.alias("media_type"), none.alias("sha256"), F.lit("ignored").alias("source"))
+    part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), none.alias("media_type"), none.alias("sha256"), F.lit("ignored").alias("source"))
     messages = F.array(F.struct(F.lit("user").alias("role"), F.array(part).alias("parts")))
     return table(spark, d, "documents").select("doc_id", requests.request_key(F.lit("mock"), messages).alias("request_key"))
 
@@ -349,18 +327,17 @@ def compare_runs(spark, d):
 @query("SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_linestatus = 'O'")
 def groups_in_both(spark, d):
     items = table(spark, d, "lineitem")
-    return items.where("l_returnflag = 'R'").select("l_suppkey").intersect(items.where("l_linestatus = 'O'").select("l_suppkey"))
+    return scoring.in_both(items.where("l_returnflag = 'R'"), items.where("l_linestatus = 'O'"), "l_suppkey")
 
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def groups_in_one(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")))
+    return scoring.only_in(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT doc_id, 'new' AS run FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'old' FROM labels")
+@query("SELECT doc_id, 'new' AS run FROM documents UNION ALL SELECT doc_id, 'old' FROM labels")
 def records_of_both(spark, d):
-    new = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("run"))
-    return new.unionByName(table(spark, d, "labels").select(F.lit("old").alias("run"), "doc_id"))
+    return scoring.of_both(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"), "new", "old")
 
 
 # -- Reading results ------------------------------------------------------
@@ -449,11 +426,6 @@ def run_by_label(spark, d):
     return results.by_label(runs, "1-URGENT")
 
 
-@query("SELECT count(*)::BIGINT AS entries, sum(n_chars)::BIGINT AS bytes, min(doc_id) AS oldest FROM documents")
-def cache_stats(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("entries"), F.sum("n_chars").cast("long").alias("bytes"), F.min("doc_id").alias("oldest"))
-
-
 # -- Text -----------------------------------------------------------------
 
 
@@ -502,8 +474,8 @@ def retrieval_top_k(spark, d):
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'license') THEN 'legal' WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') THEN 'loud' ELSE 'other' END AS category FROM documents")
 def keyword_classifier(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.when(t.contains("license"), "legal").when(t.contains("|"), "table").when(t.contains("!!"), "loud").otherwise("other").alias("category"))
+    rules = {"license": "legal", "|": "table", "!!": "loud"}
+    return table(spark, d, "documents").select("doc_id", results.first_keyword(F.col("text"), rules, "other").alias("category"))
 
 
 @query(
@@ -512,10 +484,7 @@ def keyword_classifier(spark, d):
     SELECT doc_id, trim(arg_max(s, (hits, -length(s), -i))) AS sentence FROM n GROUP BY doc_id"""
 )
 def best_sentence(spark, d):
-    """Of each text the sentence that shares most words with a question; the shortest of equals, then the first."""
-    parts = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\.", -1)).alias("i", "s"))
-    hits = F.size(F.array_intersect(F.array_distinct(F.split(F.lower("s"), " ", -1)), F.array(F.lit("the"), F.lit("and"), F.lit("that"))))
-    return parts.groupBy("doc_id").agg(F.max_by("s", F.struct(hits, -F.length("s"), -F.col("i"))).alias("s")).select("doc_id", F.trim("s").alias("sentence"))
+    return results.best_sentence(table(spark, d, "documents"), "doc_id", "text", ["the", "and", "that"])
 
 
 # -- Streaming ------------------------------------------------------------
@@ -533,4 +502,6 @@ def calls_by_day(spark, d):
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "calls", "spend")
 
 
+from promptmatrix.plans import project_queries  # noqa: E402, F401  (registers its queries)
+
 __all__ = ["ORACLE", "QUERIES"]

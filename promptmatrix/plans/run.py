@@ -282,7 +282,7 @@ def complete(spark: SparkSession, cells: DataFrame, models: list[specs.Model], b
     return done.unionByName(failed)
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder spark.checkpoint.dir; only with a local master, as in tests, a temporary one where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -303,7 +303,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def _kept(df: DataFrame) -> DataFrame:
     """Calls must not run twice: their rows are written to the checkpoint folder before anything reads them."""
-    _shared(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -428,7 +428,7 @@ class Book:
     def __init__(self, cells: DataFrame):
         ordered = cells.repartitionByRange("cell_ord").sortWithinPartitions("cell_ord")
         spark = cells.sparkSession
-        self.path = f"{_shared(spark)}/{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         ordered.write.parquet(self.path)
         self.cells = spark.read.schema(cells.schema).parquet(self.path)
         self.count = self.cells.count()
@@ -450,7 +450,7 @@ class Book:
 
 def run(
     spark: SparkSession, config: specs.Config, how: Selection | None = None, label: str | None = None, resume: str | None = None, cache: bool | None = None, secrets: list[str] | None = None,
-    request_log: str | None = None, keys: dict[str, str] | None = None, on_wave: Callable[[Tally], None] | None = None,
+    request_log: str | None = None, keys: dict[str, str] | None = None, on_wave: Callable[[Tally], None] | None = None, wave_cells: int | None = None,
 ) -> Outcome:
     """Evaluates a configuration.
 
@@ -461,7 +461,7 @@ def run(
     of the budget can surely pay at the dearest price seen; with ``fail_fast``
     waves double from one cell.  A case source is read page by page, each page
     once, as far as waves ask for.  ``keys`` are credentials by the name of
-    their environment variable, for providers.
+    their environment variable, for providers; ``wave_cells`` caps a wave.
     """
     how = how or Selection()
     if how.max_cost is not None and (not math.isfinite(how.max_cost) or how.max_cost < 0):
@@ -517,7 +517,7 @@ def run(
             stopped = "fail-fast"
         if stopped:
             return 0
-        most = max(1, min(WAVE, max(256, -(-total // WAVES))) if not plain else 1 << 62)
+        most = max(1, min(wave_cells or WAVE, max(256, -(-total // WAVES))) if not plain else 1 << 62)
         if capped:
             most = 1 if not taken else min(most, WAVE, max(1, math.ceil((how.max_cost - tally.spent) / dearest)) if dearest else WAVE)
         return min(most, max(1, taken)) if how.fail_fast else most
@@ -563,7 +563,7 @@ def run(
         book.drop()
 
     if bound.streamed:
-        drained = waves.drain(spark, config.cases.source, config.base, f"{_shared(spark)}/{uuid.uuid4().hex}", lambda page, _: through(rendered(replace(bound, cases=page))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: bool(size()))
+        drained = waves.drain(spark, config.cases.source, config.base, f"{shared_folder(spark)}/{uuid.uuid4().hex}", lambda page, _: through(rendered(replace(bound, cases=page))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: bool(size()))
         if not drained and not stopped:
             warnings.append("the case source gave no cases")
     else:

@@ -112,8 +112,7 @@ def test_endless_sources(spark, tmp_path):
         pm.run(spark, circle)
 
 
-def test_waves_are_kept_and_told(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(runs, "WAVE", 6)
+def test_waves_are_kept_and_told(spark, tmp_path):
     c = project(tmp_path, models=[{"id": "parrot", "provider": "mock", "params": {"fail_times": 0}}])
     told = []
 
@@ -123,7 +122,7 @@ def test_waves_are_kept_and_told(spark, tmp_path, monkeypatch):
             raise KeyboardInterrupt  # not a fault of the listener: the run is stopped from outside
 
     with pytest.raises(KeyboardInterrupt):
-        pm.run(spark, c, on_wave=listen)
+        pm.run(spark, c, on_wave=listen, wave_cells=6)
     assert told == [(6, 6), (12, 8)]
     store = Store(tmp_path / ".promptmatrix/runs")
     stopped = store.resolve("latest")
