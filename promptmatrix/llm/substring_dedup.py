@@ -15,7 +15,7 @@ word sequence also starts anywhere else is removed.
    have equal witnesses, so a window whose witness is found once only is
    unique.  Spark counts the witnesses of all documents (one document stands
    for its exact copies).
-3. Windows with a shared witness are verified: their own names, 128 bits over
+3. Windows with a shared witness are verified: their own names, 96 bits over
    all 35 words, are counted.  Words under a window that is found twice are
    removed; a document that has exact copies and at least one window is removed
    whole.
@@ -185,9 +185,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
                     hashes.append(whole[x + at])
                     others.append(other[x + at])
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(others).view(np.int64)), b.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(starts).astype(np.int32))], ["window", "other", "key", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array((np.concatenate(others) >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(starts).astype(np.int32))], ["window", "other", "key", "start"])
 
-    return rows.mapInArrow(lean(run), "window long, other long, key long, start int")
+    return rows.mapInArrow(lean(run), "window long, other int, key long, start int")
 
 
 def _among(rows: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
@@ -212,6 +212,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     drop_surveyed()
     seen = full.select("key", "h1", F.posexplode("found").alias("i", "name"), "twice").select("key", "h1", "name", F.when(F.col("i") < F.col("twice"), 2).otherwise(1).alias("times"))
     often = checkpointed(seen.groupBy("name").agg(F.sum("times").alias("c"), F.count("*").alias("rows")).where("c > 1").select("name", "rows"))
+    _release(spark)
     shared = checkpointed(_among(seen, often, ["name"]).groupBy("key", "h1").agg(F.collect_list("name").alias("shared")))
     drop_full()
     _release(spark)
@@ -219,6 +220,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     windows, drop_windows = stored(_candidates(rows.join(suspects, "key").select("key", "t", "h1", "h2", "shared")))
     _release(spark)
     again = checkpointed(windows.groupBy("window", "other").agg(F.count("*").alias("rows")).where("rows > 1"))
+    _release(spark)
     starts = _among(windows, again, ["window", "other"]).groupBy("key").agg(F.collect_list("start").alias("starts"))
     found = starts.join(single.where("copies = 1").select("key", "h1"), "key").select("key", "h1", F.lit(False).alias("copy"), "starts")
     judged = checkpointed(found.unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("h1", "copy", "starts")).alias("judged")))
