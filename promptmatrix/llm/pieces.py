@@ -36,9 +36,9 @@ from promptmatrix.llm.session import bounded_batches, lean
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose distinct new words are sorted together, and ids that are spelled at once: they decide the memory of a task.
-BLOCK_BYTES, SPELLED_IDS = 1 << 20, 1 << 17
+BLOCK_BYTES, SPELLED_IDS = 4 << 20, 1 << 17
 #: Words whose ids a task keeps, about, besides those of its block.
-KNOWN_WORDS, KNOWN_PAIRS = 1 << 19, 1 << 17
+KNOWN_WORDS, KNOWN_PAIRS = 1 << 20, 1 << 18
 _NEVER = 1 << 60
 
 
