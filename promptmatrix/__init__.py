@@ -2,23 +2,42 @@
 
 Test cases x prompt variants x models become a table of cells; cells are
 rendered, completed, scored, aggregated and gated with DataFrame operators.
+
+Names are looked up when first used: a Python worker that needs one module of
+the package does not load all of it.
 """
 
-__version__ = "0.2.0"
-
-from promptmatrix.errors import ConfigError, ContentError, MatrixError, ProviderError, ScoringError, SourceError, StoreError, TemplateError
-from promptmatrix.export import write as export_run
-from promptmatrix.functions.text import hash_case_id
-from promptmatrix.operators.results import redacted
-from promptmatrix.operators.scoring import compare, gate, judged, matrix, overall
-from promptmatrix.plans.run import Outcome, Selection, Tally, cells, dry_run, estimate, fingerprint, load_cases, rescore, run, run_async, selection_note
-from promptmatrix.settings import resolve as resolve_settings
-from promptmatrix.sources.files import RESULT
-from promptmatrix.sources.paged import CaseSource, Page
-from promptmatrix.sources.store import Store
-from promptmatrix.spec import Case, Config, Settings, load, parse
-
-__all__ = [
-    "RESULT", "Case", "CaseSource", "Config", "ConfigError", "ContentError", "MatrixError", "Outcome", "Page", "ProviderError", "ScoringError", "Selection", "Settings", "SourceError", "Store", "StoreError", "Tally", "TemplateError",
-    "cells", "compare", "dry_run", "estimate", "export_run", "fingerprint", "gate", "hash_case_id", "judged", "load", "load_cases", "matrix", "overall", "parse", "redacted", "rescore", "resolve_settings", "run", "run_async", "selection_note",
-]
+from __future__ import annotations
+
+from importlib import import_module
+from typing import Any
+
+__version__ = "0.3.0"
+
+_MODULES = {
+    "errors": "ConfigError ContentError MatrixError ProviderError ScoringError SourceError StoreError TemplateError",
+    "functions.text": "hash_case_id",
+    "operators.results": "redacted",
+    "operators.scoring": "compare gate judged matrix overall",
+    "plans.run": "Outcome Selection Tally cells dry_run estimate fingerprint load_cases rescore run run_async selection_note",
+    "sources.files": "RESULT",
+    "sources.paged": "CaseSource Page",
+    "sources.store": "Store",
+    "spec": "Case Config Settings load parse",
+}
+_PLACES = {name: (module, name) for module, names in _MODULES.items() for name in names.split()}
+_PLACES |= {"export_run": ("export", "write"), "resolve_settings": ("settings", "resolve")}
+
+__all__ = sorted(_PLACES)  # noqa: PLE0605
+
+
+def __getattr__(name: str) -> Any:
+    if name not in _PLACES:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    module, own = _PLACES[name]
+    found = globals()[name] = getattr(import_module(f"{__name__}.{module}"), own)
+    return found
+
+
+def __dir__() -> list[str]:
+    return sorted({*globals(), *__all__})
