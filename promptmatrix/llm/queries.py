@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix.llm import exact_search, html_text, language_model, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
+from promptmatrix.llm import exact_search, html_text, language_model, leaderboard, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
 from promptmatrix.llm.session import remainder, table
 
 
@@ -57,8 +57,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.apply(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op13_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.run(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"), table(spark, sf_dir, "vendors"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op8_exact_search, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op8_exact_search, op9_mixing, op10_toxicity, op13_leaderboard_feed)}
 
 
 def oracle_sql() -> dict[str, str]:
