@@ -243,17 +243,18 @@ class Prefixes:
         return out
 
 
-def slices(text: str, size: int = SLICE) -> Iterator[str]:
-    """Cuts a text before white space that follows another character: a piece begins there in any case."""
+def slices(text: str, size: int = SLICE, spaces: bool = False) -> Iterator[str]:
+    """Cuts a text before a single white space (``spaces``: a space) between other characters: a piece begins there in any case."""
+    found = _SPACE if spaces else _BREAK
     at = 0
     while len(text) - at > size:
-        cut = next((m.start() for m in _BREAK.finditer(text, at + size)), len(text))
+        cut = next((m.start() for m in found.finditer(text, at + size)), len(text))
         yield text[at:cut]
         at = cut
     yield text[at:]
 
 
-_BREAK = regex.compile(r"(?<=[^\s])[ \n](?=[^\s])")
+_BREAK, _SPACE = regex.compile(r"(?<=[^\s])[ \n](?=[^\s])"), regex.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
 class Speller:

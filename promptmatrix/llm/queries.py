@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmatrix.llm import byte_bpe, exact_search, html_text, language_model, leaderboard, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
+from promptmatrix.llm import alignment, byte_bpe, exact_search, html_text, language_model, leaderboard, mixing, nbsvm, near_dup, pieces, quality_rules, substring_dedup, toxicity
 from promptmatrix.llm.session import remainder, table
 
 
@@ -57,6 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.apply(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.load())
 
@@ -66,7 +70,7 @@ def op13_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op8_exact_search, op9_mixing, op10_toxicity, op12_byte_bpe, op13_leaderboard_feed)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_html_extraction, op4_substring_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_model, op8_exact_search, op9_mixing, op10_toxicity, op11_alignment, op12_byte_bpe, op13_leaderboard_feed)}
 
 
 def oracle_sql() -> dict[str, str]:
