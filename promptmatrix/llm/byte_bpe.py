@@ -251,7 +251,8 @@ def slices(text: str, size: int = SLICE, spaces: bool = False) -> Iterator[str]:
         cut = next((m.start() for m in found.finditer(text, at + size)), len(text))
         yield text[at:cut]
         at = cut
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 _BREAK, _SPACE = regex.compile(r"(?<=[^\s])[ \n](?=[^\s])"), regex.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
