@@ -283,10 +283,11 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: What the state needs: a store with many columns of state, few old versions.
+#: What the state needs: a store that knows maps, few old versions, and no files made large before they are filled (there are many small stores).
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
