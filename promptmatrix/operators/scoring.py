@@ -51,35 +51,76 @@ def judged(results: DataFrame) -> DataFrame:
     return results.withColumns({"cell_score": cell_score(scores, error), "passed": cell_passed(scores, error)})
 
 
-def _stats() -> list[Column]:
-    n = F.count("*")
-    score = F.sum(F.col("cell_score").cast("decimal(38,10)")).cast("double")
+#: What is kept of a wave for each variant and model: sums, from which every figure of the run follows.
+PARTIAL = "variant string, model string, cases long, score_sum decimal(38,10), n_passed long, errors long, cached long, input_tokens long, output_tokens long, cost decimal(38,10), unpriced long"
+
+
+def partial(results: DataFrame) -> DataFrame:
+    """The sums of a part of the results by variant and model: mergeable, and as exact as decimals."""
+    failed = F.col("error").isNotNull()
+    zero = F.lit(0).cast("decimal(38,10)")
+    return results.groupBy("variant", "model").agg(
+        F.count("*").alias("cases"), F.coalesce(F.sum(F.col("cell_score").cast("decimal(28,10)")), zero).cast("decimal(38,10)").alias("score_sum"), F.count_if("passed").alias("n_passed"), F.count_if(failed).alias("errors"), F.count_if("cached").alias("cached"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("output_tokens"),
+        F.coalesce(F.sum(F.when(~F.col("cached"), F.col("cost_usd").cast("decimal(28,10)"))), zero).cast("decimal(38,10)").alias("cost"), F.count_if(~failed & F.col("cost_usd").isNull()).alias("unpriced"),
+    )
+
+
+def _figures(cases: Column, score_sum: Column, passed: Column, errors: Column) -> list[Column]:
+    n = F.coalesce(cases, F.lit(0))
     return [
         n.cast("long").alias("cases"),
-        F.coalesce(F.round(score / F.when(n > 0, n), 6), F.lit(0.0)).alias("score"),
-        F.coalesce(F.round(F.count_if("passed") / F.when(n > 0, n), 6), F.lit(0.0)).alias("pass_rate"),
-        F.count_if(F.col("error").isNotNull()).cast("long").alias("errors"),
+        F.coalesce(F.round(score_sum.cast("double") / F.when(n > 0, n), 6), F.lit(0.0)).alias("score"),
+        F.coalesce(F.round(passed / F.when(n > 0, n), 6), F.lit(0.0)).alias("pass_rate"),
+        F.coalesce(errors, F.lit(0)).cast("long").alias("errors"),
     ]
 
 
+def _stats() -> list[Column]:
+    return _figures(F.count("*"), F.sum(F.col("cell_score").cast("decimal(38,10)")), F.count_if("passed"), F.count_if(F.col("error").isNotNull()))
+
+
+def _merged() -> list[Column]:
+    return _figures(F.sum("cases"), F.sum("score_sum"), F.sum("n_passed"), F.sum("errors"))
+
+
 def matrix(results: DataFrame) -> DataFrame:
     """One row for each variant and model, in order: cases, score, pass rate, errors."""
     return results.groupBy("variant", "model").agg(*_stats()).orderBy("variant", "model")
 
 
+def matrix_of(partials: DataFrame) -> DataFrame:
+    """``matrix`` from partial sums."""
+    return partials.groupBy("variant", "model").agg(*_merged()).orderBy("variant", "model")
+
+
 def overall(results: DataFrame) -> DataFrame:
     """One row over everything; no cells give zeros, not nulls."""
     return results.agg(*_stats())
 
 
+def overall_of(partials: DataFrame) -> DataFrame:
+    """``overall`` from partial sums."""
+    return partials.agg(*_merged())
+
+
+def _sums(total: Column, failed: Column, cached: Column, tokens_in: Column, tokens_out: Column, cost: Column) -> list[Column]:
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return [
+        whole(total).alias("total"), (whole(total) - whole(failed)).alias("succeeded"), whole(failed).alias("failed"), whole(cached).alias("cached"), whole(tokens_in).alias("input_tokens"), whole(tokens_out).alias("output_tokens"),
+        F.coalesce(F.round(cost.cast("double"), 10), F.lit(0.0)).alias("cost_usd"),
+    ]
+
+
 def totals(results: DataFrame) -> DataFrame:
     """Counts, tokens and cost of a run; a cached cell's cost was paid before and is left out."""
-    return results.agg(
-        F.count("*").cast("long").alias("total"), F.count_if(F.col("error").isNull()).cast("long").alias("succeeded"), F.count_if(F.col("error").isNotNull()).cast("long").alias("failed"),
-        F.count_if("cached").cast("long").alias("cached"), F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("output_tokens"),
-        F.coalesce(F.round(F.sum(F.when(~F.col("cached"), F.col("cost_usd").cast("decimal(38,10)"))).cast("double"), 10), F.lit(0.0)).alias("cost_usd"),
-    )
+    cost = F.sum(F.when(~F.col("cached"), F.col("cost_usd").cast("decimal(38,10)")))
+    return results.agg(*_sums(F.count("*"), F.count_if(F.col("error").isNotNull()), F.count_if("cached"), F.sum("input_tokens"), F.sum("output_tokens"), cost))
+
+
+def totals_of(partials: DataFrame) -> DataFrame:
+    """``totals`` from partial sums."""
+    return partials.agg(*_sums(F.sum("cases"), F.sum("errors"), F.sum("cached"), F.sum("input_tokens"), F.sum("output_tokens"), F.sum("cost")))
 
 
 def gate(overall_row: DataFrame, min_pass_rate: float | None = None, min_score: float | None = None, baseline: DataFrame | None = None) -> DataFrame:

@@ -218,7 +218,7 @@ def retried_calls(spark, d):
     """A provider that fails twice at first, in one task: the first call takes three attempts."""
     c = project(folder(), cases=nations(spark, d), models=[{"id": "echo", "provider": "mock", "max_concurrency": 1, "params": {"fail_times": 2}}])
     bound = runs.bind_config(spark, c, runs.Selection())
-    done = runs.complete(spark, runs.rendered(bound), bound.models, c.base, None)
+    done, _, _ = runs.complete(spark, runs.rendered(bound), bound.models, c.base, None)
     return done.agg(F.count("*").alias("cells"), F.sum(F.col("attempts") - 1).alias("retried"), F.sum("attempts").cast("long").alias("attempts"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 

@@ -9,6 +9,7 @@ import json
 import math
 import random
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -17,13 +18,13 @@ from typing import Any
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmatrix import spec as specs
 from promptmatrix.errors import ConfigError, MatrixError, StoreError, TemplateError
-from promptmatrix.functions import prices, template
+from promptmatrix.functions import prices, template, template_columns
 from promptmatrix.functions.scorers import Inputs, bind, entry, judge_params
 from promptmatrix.functions.text import hash_case_id, scrub
 from promptmatrix.operators import matrix, requests, results, scoring
@@ -33,8 +34,8 @@ from promptmatrix.sources import files, folders, paged
 from promptmatrix.sources.store import Store
 from promptmatrix.streaming import waves
 
-#: Waves of a run that makes calls, at least, and cells of a wave, at most: a crash loses one wave.
-WAVES, WAVE = 64, 1 << 14
+#: Cells of the first wave of a run that makes calls, and seconds that a wave should take: waves double until they do, and a crash loses one wave.
+FIRST_WAVE, WAVE_SECONDS = 256, 60
 _MESSAGES = "array<struct<role:string, parts:array<struct<type:string, text:string, media_type:string, sha256:string, source:string>>>>"
 
 
@@ -111,13 +112,38 @@ def bind_config(spark: SparkSession, config: specs.Config, how: Selection) -> Bo
     return Bound(config, variants, models, table, available, streamed, selection)
 
 
-def rendered(bound: Bound) -> DataFrame:
-    """All cells with messages, or the error of the cell whose template fails."""
-    config = bound.config
+def _cells(bound: Bound) -> DataFrame:
+    """All cells of the matrix, each with its case's variables parsed once."""
     spark = bound.cases.sparkSession
     models = matrix.names(spark, "model", [m.id for m in bound.models], "m_ord")
     variants = matrix.names(spark, "variant", [n for n, _ in bound.variants], "v_ord")
-    cells = matrix.product(variants, models, bound.cases, case_major=bound.streamed)
+    parsed = bound.cases.withColumn("_vars", F.try_parse_json(F.coalesce("vars", F.lit("{}"))))
+    return matrix.product(variants, models, parsed, case_major=bound.streamed)
+
+
+def _by_expression(bound: Bound, cells: DataFrame) -> DataFrame:
+    """Cells with messages where an expression gives them for sure: null for templates without one, media, and rows that need the renderer's own words."""
+    own = template_columns.of_variant(F.col("_vars"))
+    attached = lambda path: F.try_element_at(F.col("files"), F.lit(path[1])).cast("variant") if len(path) == 2 and isinstance(path[1], str) else F.lit(None).cast("variant")
+    messages = F.lit(None).cast(_MESSAGES)
+    for name, told in bound.variants:
+        parts = [(m.role, m.parts()) for m in told]
+        if any(kind != "text" for _, pieces in parts for kind, _ in pieces):
+            continue
+        texts = [[template_columns.compile(source, lambda n: attached if n == "files" else own) for _, source in pieces] for _, pieces in parts]
+        if any(t is None for row in texts for t in row):
+            continue
+        none = F.lit(None).cast("string")
+        part = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), none.alias("media_type"), none.alias("sha256"), none.alias("source"))
+        listed = F.array(*(F.struct(F.lit(role).alias("role"), F.array(*map(part, row)).alias("parts")) for (role, _), row in zip(parts, texts, strict=True)))
+        messages = F.when(F.col("variant") == name, listed).otherwise(messages)
+    sure = F.forall("messages", lambda m: F.forall(m["parts"], lambda p: p["text"].isNotNull())) & F.try_variant_get("_vars", "$['files']", "variant").isNull() & F.col("_vars").isNotNull()
+    return scoring.once(cells, "messages", messages).withColumn("messages", F.when(sure, F.col("messages")))
+
+
+def _by_renderer(bound: Bound, cells: DataFrame) -> DataFrame:
+    """Cells with messages, or the error of the cell whose template fails."""
+    config = bound.config
     parts = {name: [(m.role, m.parts()) for m in messages] for name, messages in bound.variants}
     base = str(config.base)
 
@@ -154,7 +180,12 @@ def rendered(bound: Bound) -> DataFrame:
         return pd.DataFrame(rows, columns=["messages", "error"])
 
     r = render("variant", "vars", F.to_json("files"))
-    return cells.withColumn("_r", r).withColumns({"messages": F.from_json("_r.messages", _MESSAGES), "error": F.col("_r.error")}).drop("_r")
+    return cells.drop("messages").withColumn("_r", r).withColumns({"messages": F.from_json("_r.messages", _MESSAGES), "error": F.col("_r.error")}).drop("_r")
+
+
+def rendered(bound: Bound, pick: Callable[[DataFrame], DataFrame] = lambda cells: cells) -> DataFrame:
+    """All cells (that ``pick`` leaves) with messages, or the error of the cell whose template fails; rendered once."""
+    return Book(bound, pick).cells
 
 
 def _first_page(spark: SparkSession, bound: Bound) -> Bound:
@@ -209,24 +240,32 @@ def spec_json(model: specs.Model) -> str:
 
 
 class Responses:
-    """The response cache: a table of completions by request key, in folders by the key's first two digits."""
+    """The response cache: a table of completions by request key, a folder for each wave that added some."""
 
-    SCHEMA = "request_key string, output string, input_tokens long, output_tokens long, cost_usd double, shard string"
+    SCHEMA = "request_key string, output string, input_tokens long, output_tokens long, cost_usd double"
+    _NAMES = tuple(c.split()[0] for c in SCHEMA.split(", "))
 
     def __init__(self, root: Path | str):
-        self.place = folders.Folder(root).sub("responses")
+        self.place = folders.Folder(root).sub("answers")
 
     def _files(self) -> list[folders.Entry]:
         return [f for f in self.place.walk() if f.name.endswith(".parquet")]
 
     def read(self, spark: SparkSession) -> DataFrame:
         if not self._files():
-            return spark.createDataFrame([], self.SCHEMA).drop("shard")
-        return spark.read.schema(self.SCHEMA).parquet(self.place.uri).drop("shard").dropDuplicates(["request_key"])
+            return spark.createDataFrame([], self.SCHEMA)
+        return spark.read.schema(self.SCHEMA).parquet(self.place.uri).select(*self._NAMES).dropDuplicates(["request_key"])
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """The stored responses to these requests (request_key)."""
+        spark = asked.sparkSession
+        found = self.read(spark)
+        return found.join(asked.select("request_key").distinct(), "request_key", "left_semi") if self._files() else found
 
     def add(self, completed: DataFrame) -> None:
-        kept = completed.where(F.col("error").isNull() & F.col("output").isNotNull())
-        kept.select(*(c.split()[0] for c in self.SCHEMA.split(", ")[:-1]), F.substring("request_key", 1, 2).alias("shard")).write.mode("append").partitionBy("shard").parquet(self.place.uri)
+        """Good responses, in few files sorted by key, so that the ranges of keys in their footers tell them apart."""
+        kept = completed.where(F.col("error").isNull() & F.col("output").isNotNull()).select(*self._NAMES)
+        kept.sortWithinPartitions("request_key").write.option("parquet.bloom.filter.enabled#request_key", "true").parquet(f"{self.place.uri}/wave={uuid.uuid4().hex}")
 
     def stats(self, spark: SparkSession) -> DataFrame:
         """One row: entries, bytes, and when the oldest file was written."""
@@ -245,41 +284,65 @@ class Responses:
 
 @dataclass
 class Caller:
-    """What calls need besides the cells: secret values to scrub, keys for providers, and how many may be in flight."""
+    """What calls need besides the cells: secret values to scrub, keys for providers, how many may be in flight, and when each limited model was last called."""
 
     secrets: list[str] = field(default_factory=list)
     keys: dict[str, str] = field(default_factory=dict)
     concurrency: int = 8
+    recent: dict[str, list[float]] = field(default_factory=dict)
+
+    def heard(self, models: list[specs.Model], made: DataFrame) -> None:
+        """Keeps the times of the last minute's attempts of models with a rate, at most that many of each."""
+        for m in models:
+            if m.requests_per_minute:
+                times = made.where(F.col("model") == m.id).select(F.explode("called_at").alias("t")).where(F.col("t") > time.time() - 60)
+                late = [r[0] for r in times.orderBy(F.desc("t")).limit(int(m.requests_per_minute)).collect()]
+                self.recent[m.id] = sorted([*self.recent.get(m.id, []), *late])[-int(m.requests_per_minute) :]
 
 
-def complete(spark: SparkSession, cells: DataFrame, models: list[specs.Model], base: Path, cache: Responses | None, caller: Caller | None = None) -> DataFrame:
-    """Cells with output, usage, cost, error and cached: equal requests are called once, stored responses not at all."""
-    key = None
+def key_of(models: list[specs.Model]) -> Column:
+    """The request key of a cell of one of these models."""
+    key = F.lit(None).cast("string")
     for m in models:
-        one = requests.request_key(F.lit(spec_json(m)), F.col("messages"))
-        key = F.when(F.col("model") == m.id, one) if key is None else key.when(F.col("model") == m.id, one)
-    asked = cells.where(F.col("error").isNull()).withColumn("request_key", key)
+        key = F.when(F.col("model") == m.id, requests.request_key(F.lit(spec_json(m)), F.col("messages"))).otherwise(key)
+    return key
+
+
+def complete(spark: SparkSession, cells: DataFrame, models: list[specs.Model], base: Path, cache: Responses | None, caller: Caller | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
+    """Cells with output, usage, cost, error and cached; the completions that were made; and what deletes them.
+
+    Equal requests are called once, stored responses (``known``, else what the
+    cache has of these requests) not at all.  Calls must not run twice: what
+    they gave is written to the checkpoint folder before anything reads it.
+    """
+    asked = cells.where(F.col("error").isNull())
+    if "request_key" not in cells.columns:
+        asked = asked.withColumn("request_key", key_of(models))
     dumps, caller = [m.model_dump() for m in models], caller or Caller()
     if cache is None:  # every cell is a call of its own
         asked = asked.withColumn("request_key", F.concat_ws(":", "request_key", F.col("cell_ord").cast("string")))
-        known = spark.createDataFrame([], Responses.SCHEMA).drop("shard")
-    else:
-        known = cache.read(spark)
-    looked = requests.with_cache(asked.select("request_key", "cell_ord", "model", "messages"), known)
-    fresh = stage.completions(requests.to_call(looked.select("request_key", "cell_ord", "model", "messages", "cached")), dumps, str(base), caller.secrets, caller.keys, caller.concurrency)
-    fresh = _kept(fresh)
+        known = spark.createDataFrame([], Responses.SCHEMA)
+    elif known is None:
+        known = cache.of(asked)
+    first = requests.to_call(asked.select("request_key", "cell_ord", "model", "messages", F.lit(False).alias("cached")))
+    wanted = requests.to_call(requests.with_cache(first, known).select("request_key", "cell_ord", "model", "messages", "cached")) if cache is not None else first
+    made = stage.completions(wanted, dumps, str(base), caller.secrets, caller.keys, caller.concurrency, caller.recent)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    fresh = spark.read.schema(made.schema).parquet(path)
+    caller.heard(models, fresh)
     if cache is not None:
         cache.add(fresh)
-    first = requests.single_flight(looked.where("not cached").select("request_key", "cell_ord")).where("called").select("cell_ord", F.lit(True).alias("_first"))
-    hits = known.select("request_key", "output", "input_tokens", "output_tokens", "cost_usd", F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"), F.lit(True).alias("_known"))
-    every = fresh.withColumn("_known", F.lit(False)).unionByName(hits.join(asked.select("request_key").distinct(), "request_key", "left_semi"))
-    done = asked.drop("error").join(every, "request_key", "left").join(first, "cell_ord", "left")
-    served = F.col("error").isNull() & (F.col("_known") | F.col("_first").isNull())
+    none = {"latency_ms": "double", "error": "string", "attempts": "int", "first_ord": "long"}
+    hits = known.withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"_known": F.lit(True)})
+    every = fresh.drop("model", "called_at").withColumn("_known", F.lit(False)).unionByName(hits)
+    done = asked.drop("error").join(every, "request_key", "left")
+    served = F.col("error").isNull() & (F.col("_known") | (F.col("first_ord") != F.col("cell_ord")))
     done = done.withColumn("cached", F.coalesce(served, F.lit(False)) if cache is not None else F.lit(False))
-    done = done.withColumns({"latency_ms": F.when(~F.col("cached"), F.col("latency_ms")), "attempts": F.when(~F.col("cached"), F.col("attempts")).otherwise(0)}).drop("_known", "_first", "request_key")
+    done = done.withColumns({"latency_ms": F.when(~F.col("cached"), F.col("latency_ms")), "attempts": F.when(~F.col("cached"), F.col("attempts")).otherwise(0)}).drop("_known", "first_ord", "request_key")
     none = {"output": "string", "input_tokens": "long", "output_tokens": "long", "cost_usd": "double", "latency_ms": "double", "attempts": "int"}
-    failed = cells.where(F.col("error").isNotNull()).withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"cached": F.lit(False)})
-    return done.unionByName(failed)
+    failed = cells.where(F.col("error").isNotNull()).drop("request_key").withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"cached": F.lit(False)})
+    return done.unionByName(failed), fresh, lambda: remove(spark, path)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -355,7 +418,8 @@ def score(spark: SparkSession, done: DataFrame, config: specs.Config, cache: Res
         fill = _filled(rubric, params["judge"])
         asked = cells.where(F.col("error").isNull()).withColumn("_r", fill("output", "expected", "vars"))
         asked = asked.select("cell_ord", F.lit(model.id).alias("model"), F.from_json("_r.messages", _MESSAGES).alias("messages"), F.col("_r.error").alias("error"))
-        said = _kept(complete(spark, asked, [model], config.base, cache, caller))
+        answered, _, _ = complete(spark, asked, [model], config.base, cache, caller)
+        said = _kept(answered)
         made = F.col("attempts") > 0
         cost, n, tries = said.agg(F.coalesce(F.sum(F.when(made & ~F.col("cached"), F.col("cost_usd"))), F.lit(0.0)), F.count_if(made & ~F.col("cached")), F.coalesce(F.sum("attempts"), F.lit(0))).first()
         spent.cost, spent.calls, spent.attempts = spent.cost + cost, spent.calls + n, spent.attempts + tries
@@ -423,29 +487,44 @@ def _plain(config: specs.Config, models: list[specs.Model]) -> bool:
 
 
 class Book:
-    """The rendered cells of a run, written once and in order, so that waves read ranges of them and nothing is rendered or fetched again."""
+    """The rendered cells of a run, written once, so that waves read ranges of them and nothing is rendered or fetched again.
 
-    def __init__(self, cells: DataFrame):
-        ordered = cells.repartitionByRange("cell_ord").sortWithinPartitions("cell_ord")
-        spark = cells.sparkSession
-        self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-        ordered.write.parquet(self.path)
-        self.cells = spark.read.schema(cells.schema).parquet(self.path)
-        self.count = self.cells.count()
+    Expressions render what they can; only where they leave cells without
+    messages, those cells go through the renderer, in Python.  ``request_key``
+    is made here too.
+    """
+
+    def __init__(self, bound: Bound, pick: Callable[[DataFrame], DataFrame] = lambda cells: cells):
+        spark = bound.cases.sparkSession
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        by_expression = _by_expression(bound, pick(_cells(bound))).withColumn("_vars", F.col("vars"))
+        keyed = lambda cells: cells.drop("_vars").withColumn("error", F.col("error") if "error" in cells.columns else F.lit(None).cast("string")).withColumn("request_key", key_of(bound.models))
+        by_expression = keyed(by_expression)
+        by_expression.write.parquet(f"{self.path}/expressions")
+        cells = spark.read.schema(by_expression.schema).parquet(f"{self.path}/expressions")
+        self.count, left = cells.agg(F.count("*"), F.count_if(F.col("messages").isNull())).first()
+        if left:
+            bare = cells.where(F.col("messages").isNull()).drop("messages", "error", "request_key")
+            others = keyed(_by_renderer(bound, bare)).select(cells.columns)
+            others.write.parquet(f"{self.path}/renderer")
+            cells = cells.where(F.col("messages").isNotNull()).unionByName(spark.read.schema(cells.schema).parquet(f"{self.path}/renderer"))
+        self.cells = cells
 
     def waves(self, size: Callable[[], int]) -> Iterator[DataFrame]:
-        """The cells in order, as many at a time as ``size`` says before each wave (0: no more)."""
-        after = -1
-        while n := size():
+        """The cells in order, as many at a time as ``size`` says before each wave (0: no more); borders are counted in ranges of the order, never sorted whole."""
+        after, left = -1, self.count
+        while (n := size()) and left > 0:
             rest = self.cells.where(F.col("cell_ord") > after)
+            if n >= left:
+                yield rest
+                left = 0
+                continue
             last = rest.select("cell_ord").orderBy("cell_ord").limit(n).agg(F.max("cell_ord")).first()[0]
-            if last is None:
-                return
             yield rest.where(F.col("cell_ord") <= last)
-            after = last
+            after, left = last, left - n
 
     def drop(self) -> None:
-        remove(self.cells.sparkSession, self.path)
+        remove(self.spark, self.path)
 
 
 def run(
@@ -504,9 +583,10 @@ def run(
         store.write_text(run_id, "config.snapshot.yaml", snapshot(config))
     python = tuple(c.criterion for c in config.scorecard if c.scorer.type == "python")
     warnings: list[str] = []
-    dearest, failed, taken, stopped = 0.0, 0, 0, None
+    dearest, failed, taken, stopped, most = 0.0, 0, 0, None, FIRST_WAVE
     plain, capped = _plain(config, bound.models), how.max_cost is not None
-    total = 0
+    media_too = any(kind != "text" for _, told in bound.variants for m in told for kind, _ in m.parts())
+    figures: list[Row] = scoring.partial(scoring.judged(done)).collect() if resume else []
 
     def size() -> int:
         """Cells of the next wave; 0 ends the run."""
@@ -517,62 +597,76 @@ def run(
             stopped = "fail-fast"
         if stopped:
             return 0
-        most = max(1, min(wave_cells or WAVE, max(256, -(-total // WAVES))) if not plain else 1 << 62)
+        n = min(wave_cells or 1 << 62, most if not plain else 1 << 62)
         if capped:
-            most = 1 if not taken else min(most, WAVE, max(1, math.ceil((how.max_cost - tally.spent) / dearest)) if dearest else WAVE)
-        return min(most, max(1, taken)) if how.fail_fast else most
-
-    def wave(part: DataFrame) -> None:
-        nonlocal dearest, failed, taken
-        scored, judge = score(spark, complete(spark, part, bound.models, config.base, responses, caller), config, responses, caller)
-        kept = _kept(scored)
-        rows = _stored(kept)
+            n = 1 if not taken else min(n, max(1, math.ceil((how.max_cost - tally.spent) / dearest)) if dearest else n)
+        return min(n, max(1, taken)) if how.fail_fast else n
+
+    def wave(part: DataFrame, known: DataFrame | None) -> DataFrame:
+        """A wave completed, scored and stored; returns the responses that it made."""
+        nonlocal dearest, failed, taken, most
+        began = time.monotonic()
+        completed, made, drop = complete(spark, part, bound.models, config.base, responses, caller, known)
+        scored, judge = score(spark, completed, config, responses, caller)
+        if request_log or media_too:  # read more than once
+            scored = _kept(scored)
+        rows = _stored(scored)
         if request_log:  # as JSON lines; headers and keys are never part of a cell, and outputs are scrubbed already
-            trace = kept.where("not cached").select("model", "messages", "output", "error", "latency_ms", "attempts")
+            trace = scored.where("not cached").select("model", "messages", "output", "error", "latency_ms", "attempts")
             trace.select(scrub(F.to_json(F.struct("*")), caller.secrets).alias("value")).write.mode("append").text(request_log)
-        media = files.attached(rows) if not private else None
-        store.append(run_id, results.redacted(rows, config.privacy.keep_case_ids, python) if private else rows)
+        media = files.attached(rows) if media_too and not private else None
+        written = store.append(run_id, results.redacted(rows, config.privacy.keep_case_ids, python) if private else rows)
         if media is not None:
             store.keep_artifacts(run_id, media)
-        judged = scoring.judged(rows)
-        n, ok, bad, hits, points, cost, unpriced = judged.agg(
-            F.count("*"), F.count_if("passed"), F.count_if(F.col("error").isNotNull()), F.count_if("cached"), F.coalesce(F.sum("cell_score"), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(~F.col("cached"), F.col("cost_usd"))), F.lit(0.0)), F.count_if(F.col("error").isNull() & F.col("cost_usd").isNull()),
-        ).first()
-        tally.cells, tally.passed, tally.errors, tally.cached = tally.cells + n, tally.passed + ok, tally.errors + bad, tally.cached + hits
-        tally.score_sum, tally.cost_usd = tally.score_sum + points, tally.cost_usd + cost
+        own = scoring.partial(scoring.judged(written)).collect()
+        figures.extend(own)
+        for r in own:
+            tally.cells, tally.passed, tally.errors, tally.cached = tally.cells + r["cases"], tally.passed + r["n_passed"], tally.errors + r["errors"], tally.cached + r["cached"]
+            tally.score_sum, tally.cost_usd = tally.score_sum + float(r["score_sum"]), tally.cost_usd + float(r["cost"])
+        n, cost, unpriced = sum(r["cases"] for r in own), float(sum(r["cost"] for r in own)), sum(r["unpriced"] for r in own)
         tally.judge = Judged(tally.judge.cost + judge.cost, tally.judge.calls + judge.calls, tally.judge.attempts + judge.attempts)
-        failed, taken = failed + n - ok, taken + n
+        failed, taken = failed + n - sum(r["n_passed"] for r in own), taken + n
         dearest = max(dearest, (cost + judge.cost) / n) if n else dearest
+        if time.monotonic() - began < WAVE_SECONDS / 2:
+            most = max(most, 2 * n)
         if unpriced and capped and not warnings:
             warnings.append("some calls have no known cost, so the cap can not hold them")
+        dropped.append(drop)
         if on_wave:
             with contextlib.suppress(Exception):  # a listener's fault is not the run's
                 on_wave(replace(tally))
-
-    def through(cells: DataFrame) -> None:
-        """All waves of these cells; one where calls cost nothing."""
-        nonlocal total
-        if plain and not capped and not how.fail_fast:
-            wave(_kept(cells))  # rendered once, and not again by every branch of the plan
-            return
-        book = Book(cells)
-        total = max(total, book.count)
+        return made.where(F.col("error").isNull() & F.col("output").isNotNull()).select(*Responses._NAMES)
+
+    dropped: list[Callable[[], None]] = []
+
+    def through(book: Book) -> None:
+        """All waves of these cells; what the cache has of their requests is read once, and what waves add is put beside it."""
+        known = None
+        if responses is not None:
+            known = responses.of(book.cells.where(F.col("error").isNull()))
+            if responses._files():
+                path = f"{book.path}-known"
+                known.write.parquet(path)
+                known = spark.read.schema(known.schema).parquet(path)
+                dropped.append(lambda: remove(spark, path))
         for part in book.waves(size):
-            wave(part)
-        book.drop()
+            made = wave(part, known)
+            known = None if known is None else known.unionByName(made)
+        for drop in (*dropped, book.drop):
+            drop()
+        dropped.clear()
 
     if bound.streamed:
-        drained = waves.drain(spark, config.cases.source, config.base, f"{shared_folder(spark)}/{uuid.uuid4().hex}", lambda page, _: through(rendered(replace(bound, cases=page))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: bool(size()))
+        drained = waves.drain(spark, config.cases.source, config.base, f"{shared_folder(spark)}/{uuid.uuid4().hex}", lambda page, _: through(Book(replace(bound, cases=page))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: bool(size()))
         if not drained and not stopped:
             warnings.append("the case source gave no cases")
     else:
-        cells = rendered(bound)
-        if resume:
-            left = cells.withColumn("_id", hash_case_id(F.col("case_id"))) if private and not config.privacy.keep_case_ids else cells.withColumn("_id", F.col("case_id"))
-            cells = left.join(done.select("variant", "model", F.col("case_id").alias("_id")), ["variant", "model", "_id"], "left_anti").drop("_id")
-        through(cells)
-    return finish(spark, store, run_id, config, baseline, tally.judge, stopped, warnings)
+        def left(cells: DataFrame) -> DataFrame:
+            named = cells.withColumn("_id", hash_case_id(F.col("case_id")) if private and not config.privacy.keep_case_ids else F.col("case_id"))
+            return matrix.remaining(named.withColumnRenamed("case_id", "_case").withColumnRenamed("_id", "case_id"), done).drop("case_id").withColumnRenamed("_case", "case_id")
+
+        through(Book(bound, left if resume else lambda cells: cells))
+    return finish(spark, store, run_id, config, baseline, tally.judge, stopped, warnings, figures)
 
 
 def endless(config: specs.Config, how: Selection) -> None:
@@ -601,16 +695,17 @@ def cells(spark: SparkSession, config: specs.Config, how: Selection | None = Non
     return matrix.product(variants, models, bound.cases, case_major=bound.streamed).select(*matrix.KEY, "cell_ord")
 
 
-def finish(spark: SparkSession, store: Store, run_id: str, config: specs.Config, baseline: dict | None, judge: Judged, stopped: str | None, warnings: list[str]) -> Outcome:
-    rows = scoring.judged(store.results(spark, run_id))
-    whole = scoring.overall(rows)
-    aggregates = {"overall": whole.first().asDict(), "matrix": [r.asDict() for r in scoring.matrix(rows).collect()]}
-    totals = scoring.totals(rows).first().asDict() | {"judge_cost_usd": round(judge.cost, 10), "judge_calls": judge.calls, "judge_attempts": judge.attempts}
+def finish(spark: SparkSession, store: Store, run_id: str, config: specs.Config, baseline: dict | None, judge: Judged, stopped: str | None, warnings: list[str], figures: list[Row]) -> Outcome:
+    """Closes a run from the figures of its waves, a row for each wave, variant and model; no result is read again."""
+    waves_of = spark.createDataFrame([tuple(r) for r in figures], scoring.PARTIAL)
+    whole = scoring.overall_of(waves_of)
+    aggregates = {"overall": whole.first().asDict(), "matrix": [r.asDict() for r in scoring.matrix_of(waves_of).collect()]}
+    totals = scoring.totals_of(waves_of).first().asDict() | {"judge_cost_usd": round(judge.cost, 10), "judge_calls": judge.calls, "judge_attempts": judge.attempts}
     base = spark.createDataFrame([(baseline["score"], baseline["pass_rate"])], "score double, pass_rate double") if baseline else None
     checks = [r.asDict() for r in scoring.gate(whole, config.thresholds.min_pass_rate, config.thresholds.min_score, base).collect()]
     gate = {"passed": all(c["passed"] for c in checks), "checks": checks} if checks else None
     meta = store.finalize(run_id, stopped is None, aggregates=aggregates, totals=totals, gate=gate, stopped_early=stopped, warnings=warnings)
-    return Outcome(run_id, meta, rows, gate["passed"] if gate else None, warnings)
+    return Outcome(run_id, meta, scoring.judged(store.results(spark, run_id)), gate["passed"] if gate else None, warnings)
 
 
 def rescore(spark: SparkSession, config: specs.Config, run_id: str) -> DataFrame:

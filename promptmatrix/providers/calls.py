@@ -233,39 +233,40 @@ def with_retries(call: Callable[[], Any], attempts: int = 3, sleep: Callable[[fl
             sleep(delay(attempt, e.retry_after))
 
 
+def slots(per_minute: int | None, recent: list[float]) -> list[float]:
+    """When each of a model's calls a minute was used last: the latest of the times given, 0 for those not used; none without a rate."""
+    if not per_minute:
+        return []
+    late = sorted(recent)[-per_minute:]
+    return [0.0] * (per_minute - len(late)) + late
+
+
 class RateLimit:
-    """At most ``per_minute`` calls in any trailing minute, from any number of threads."""
+    """Slots that may each start one call in any trailing minute, for any number of threads.  ``used`` says when each was used last."""
 
-    def __init__(self, per_minute: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.per_minute, self.clock, self.sleep, self.times, self.lock = per_minute, clock, sleep, deque(), threading.Lock()
+    def __init__(self, used: list[float], clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        self.used, self.clock, self.sleep, self.lock = deque(sorted(used)), clock, sleep, threading.Lock()
 
     def wait(self) -> None:
         while True:
             with self.lock:
                 now = self.clock()
-                while self.times and now - self.times[0] >= 60:
-                    self.times.popleft()
-                if len(self.times) < self.per_minute:
-                    self.times.append(now)
+                rest = 60 - (now - self.used[0])  # slots stand in the order of their last use
+                if rest <= 0:
+                    self.used.popleft()
+                    self.used.append(now)
                     return
-                rest = 60 - (now - self.times[0])
             self.sleep(rest)
 
 
 @dataclass(frozen=True)
 class Share:
-    """How the calls of a model are spread: tasks, calls in flight in each, calls a minute of task i."""
+    """How the calls of a model are spread: tasks, calls in flight in each, and calls a minute of all of them."""
 
     tasks: int
     in_flight: int
     per_minute: int | None
 
-    def rate_of(self, task: int) -> int | None:
-        """The parts of all tasks add up to the model's rate."""
-        if self.per_minute is None:
-            return None
-        return self.per_minute // self.tasks + (task % self.tasks < self.per_minute % self.tasks)
-
 
 def share(spec: dict[str, Any], concurrency: int, models: int, cores: int) -> Share:
     """The share of one of ``models`` called models in a run that has ``concurrency`` calls in flight at most."""

@@ -70,16 +70,18 @@ class Store:
             raise StoreError(f"no such run: {run_id!r}")
         return found
 
-    def append(self, run_id: str, results: DataFrame) -> None:
-        """A wave of results; a wave is committed whole, so a killed run has no torn records."""
-        results.write.mode("append").parquet(self._run(run_id).sub("results").uri)
+    def append(self, run_id: str, results: DataFrame) -> DataFrame:
+        """A wave of results in a folder of its own; a wave is committed whole, so a killed run has no torn records.  Returns the rows as stored."""
+        place = f"{self._run(run_id).sub('results').uri}/wave={time.time_ns()}"
+        results.write.parquet(place)
+        return results.sparkSession.read.schema(RESULT).parquet(place)
 
     def results(self, spark: SparkSession, run_id: str) -> DataFrame:
         self.meta(run_id)
         place = self._run(run_id).sub("results")
         if not place.exists():
             return spark.createDataFrame([], RESULT)
-        return spark.read.schema(RESULT).parquet(place.uri).dropDuplicates(["variant", "model", "case_id", "cell_ord"])
+        return spark.read.schema(RESULT).parquet(place.uri).drop("wave").dropDuplicates(["variant", "model", "case_id", "cell_ord"])
 
     def keep_artifacts(self, run_id: str, media: DataFrame) -> None:
         """Each attached content once a run, under its digest; ``media`` has sha256, media_type and path."""

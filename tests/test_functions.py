@@ -202,10 +202,14 @@ def test_retries_and_limits():
         calls.with_retries(fails(1), 3, waits.append)
     assert calls.delay(9) == 8.0 and calls.delay(1, 400) == 60.0
     now = [0.0]
-    limit = calls.RateLimit(2, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    limit = calls.RateLimit(calls.slots(2, [-100.0]), lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    now[0] = 1000.0
     for _ in range(5):
         limit.wait()
-    assert now[0] == 120.0
+    assert now[0] == 1120.0
+    limit = calls.RateLimit(calls.slots(3, [1000.0, 1090.0, 1110.0, 900.0]), lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    starts = [(limit.wait(), now[0])[1] for _ in range(3)]
+    assert starts == [1120.0, 1150.0, 1170.0]
 
 
 def test_http_payloads():
