@@ -6,7 +6,8 @@ that can end its encoding: the one that ends there, whose own bytes the merges
 join, and that can stand behind the last token of the prefix before it without
 the merges having joined across the seam.  ``Prefixes`` keeps that token for
 every prefix.  Walking back from the end gives the encoding; appending bytes
-only adds prefixes; an edit goes back to the prefixes before it and stops as
+only adds prefixes, so the new pieces of a block are taken in order and each
+goes on from the prefix that it shares with the one before; an edit goes back to the prefixes before it and stops as
 soon as the new last tokens meet the old ones again, for as many bytes as the
 longest token has.  A piece that is itself a token is that token, whatever the
 merges say, as in the library.
@@ -41,8 +42,8 @@ FOLDER = "/opt/tokenizers"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The pattern that cuts a text before merges (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids a task keeps, the longest of them in bytes, pairs of tokens it keeps, and characters worked on at once.
-KNOWN_PIECES, KNOWN_BYTES, KNOWN_PAIRS, SLICE = 1 << 19, 64, 1 << 18, 1 << 18
+#: Pieces whose ids a task keeps, the longest of them in characters, pairs of tokens it keeps, and characters of a slice and of the slices worked on at once.
+KNOWN_PIECES, KNOWN_LENGTH, KNOWN_PAIRS, SLICE, BLOCK = 1 << 19, 64, 1 << 20, 1 << 18, 1 << 21
 _NEVER = 1 << 60
 
 
@@ -105,18 +106,18 @@ class Coder:
         for t in self.made:
             self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 0))
         self.fits: dict[int, bool] = {}
-        self.ends: dict[tuple[int, int], list[int]] = {}
+        self.ends: dict[tuple[int, int], tuple[list[int], list[str]]] = {}
         self.known: dict[str, list[int]] = {}
 
-    def _edge(self, token: int, side: int) -> list[int]:
-        """What stands at the left (0) or right (1) end of a token as its merges go on: a byte first, the token last."""
+    def _edge(self, token: int, side: int) -> tuple[list[int], list[str]]:
+        """What stands at the left (0) or right (1) end of a token as its merges go on: a byte first, the token last; ids (and what never comes), and texts."""
         found = self.ends.get((token, side))
         if found is None:
-            found = [token]
-            while (halves := self.halves[found[-1]]) is not None:
-                found.append(halves[side])
-            found.reverse()
-            self.ends[token, side] = found
+            ids = [token]
+            while (halves := self.halves[ids[-1]]) is not None:
+                ids.append(halves[side])
+            ids.reverse()
+            found = self.ends[token, side] = ([*ids, _NEVER], [self.raw[i].decode("latin-1") for i in ids])
         return found
 
     def may_follow(self, one: int, two: int) -> bool:
@@ -125,33 +126,26 @@ class Coder:
         A merge across the seam happens if it ranks before the next growth of
         both forms at the seam; on equal rank the one further left is first.
         """
-        pair = one * self.size + two
-        known = self.fits.get(pair)
-        if known is None:
-            left, right = self._edge(one, 1), self._edge(two, 0)
-            i = j = 0
-            known = True
-            while True:
-                grow = left[i + 1] if i + 1 < len(left) else _NEVER
-                own = right[j + 1] if j + 1 < len(right) else _NEVER
-                across = self.rank.get(self._text(left[i]) + self._text(right[j]), _NEVER)
-                if across < _NEVER and across < grow and across <= own:
-                    known = False
-                    break
-                if grow == own == _NEVER:
+        (left, left_text), (right, right_text), rank = self._edge(one, 1), self._edge(two, 0), self.rank
+        i = j = 0
+        known = True
+        while True:
+            grow, own = left[i + 1], right[j + 1]
+            across = rank.get(left_text[i] + right_text[j])
+            if across is not None and across < grow and across <= own:
+                known = False
+                break
+            if grow <= own:
+                if grow == _NEVER:
                     break
-                if grow <= own:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.fits) >= KNOWN_PAIRS:
-                self.fits.clear()
-            self.fits[pair] = known
+                i += 1
+            else:
+                j += 1
+        if len(self.fits) >= KNOWN_PAIRS:
+            self.fits.clear()
+        self.fits[one * self.size + two] = known
         return known
 
-    def _text(self, token: int) -> str:
-        return self.raw[token].decode("latin-1")
-
     def last_token(self, piece: str, end: int, last: list[int | None]) -> int | None:
         """The one token that ends the encoding of ``piece[:end]``, given those of all shorter prefixes."""
         made, fits, size, follow = self.made, self.fits, self.size, self.may_follow
@@ -170,27 +164,37 @@ class Coder:
                 return token
         return None
 
-    def piece(self, piece: str) -> list[int]:
-        """The ids of one piece (a string of bytes)."""
-        whole = self.rank.get(piece)
-        return [whole] if whole is not None else Prefixes(self, piece).ids()
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Finds the ids of pieces, in the order of their bytes: a piece goes on from the prefix that it shares with the one before."""
+        known, rank, open_ = self.known, self.rank, Prefixes(self)
+        for raw, p in sorted((p.encode("utf-8", "replace").decode("latin-1"), p) for p in pieces):
+            whole = rank.get(raw)
+            if whole is not None:
+                known[p] = [whole]
+                continue
+            same, most = 0, min(len(raw), len(open_.piece))
+            while same < most and raw[same] == open_.piece[same]:
+                same += 1
+            known[p] = open_.cut(same).append(raw[same:]).ids()
+
+    def block(self, parts: list[str]) -> list[list[int]]:
+        """The ids of each of some slices of texts."""
+        cut, known = [self.split(p) for p in parts], self.known
+        new = set().union(*cut) - known.keys()
+        if len(known) + len(new) > KNOWN_PIECES:
+            known.clear()
+            new = set().union(*cut)
+        self.learn(new)
+        out = [[i for p in pieces for i in known[p]] for pieces in cut]
+        for p in new:
+            if len(p) > KNOWN_LENGTH:
+                del known[p]
+        return out
 
     def ids(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, a slice at a time."""
-        known, one, many = self.known, self.piece, KNOWN_PIECES
         for part in slices(text):
-            out: list[int] = []
-            for p in self.split(part):
-                ids = known.get(p)
-                if ids is None:
-                    raw = p.encode("utf-8", "replace")
-                    ids = one(raw.decode("latin-1"))
-                    if len(raw) <= KNOWN_BYTES:
-                        if len(known) >= many:
-                            known.clear()
-                        known[p] = ids
-                out += ids
-            yield out
+            yield self.block([part])[0]
 
 
 class Prefixes:
@@ -201,6 +205,12 @@ class Prefixes:
         self.last: list[int | None] = [None]
         self.append(piece)
 
+    def cut(self, size: int) -> Prefixes:
+        """Keeps the first bytes."""
+        self.piece = self.piece[:size]
+        del self.last[size + 1 :]
+        return self
+
     def append(self, more: str) -> Prefixes:
         """Adds bytes at the end; what is known of the prefixes stays."""
         self.piece += more
@@ -258,6 +268,23 @@ def slices(text: str, size: int = SLICE, spaces: bool = False) -> Iterator[str]:
 _BREAK, _SPACE = regex.compile(r"(?<=[^\s])[ \n](?=[^\s])"), regex.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
+def blocks(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    """Slices of texts, a block of about BLOCK characters at a time, each with the row of its text."""
+    rows: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for row, text in enumerate(texts):
+        for part in slices(text.as_py() or ""):
+            rows.append(row)
+            parts.append(part)
+            size += len(part)
+            if size >= BLOCK:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if parts:
+        yield rows, parts
+
+
 class Speller:
     """Bytes of ids, of many texts at once."""
 
@@ -287,16 +314,13 @@ def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for b in batches:
-            flat, cut = [], [0]
-            for text in b.column(1):
-                n = cut[-1]
-                for ids in coder.ids(text.as_py() or ""):
+            flat, count = [np.zeros(0, np.int32)], np.zeros(b.num_rows, np.int64)
+            for rows, parts in blocks(b.column(1)):
+                for row, ids in zip(rows, coder.block(parts), strict=True):
                     flat.append(np.array(ids, np.int32))
-                    n += len(ids)
-                cut.append(n)
-            ids = np.concatenate([*flat, np.zeros(0, np.int32)])
-            lists = pa.ListArray.from_arrays(pa.array(np.array(cut, np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(cut).astype(np.int64)), lists], [id_col, "n_tokens", "ids"])
+                    count[row] += len(ids)
+            cut = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(flat)))], [id_col, "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(lean(run), f"`{id_col}` long, n_tokens long, ids array<int>")
