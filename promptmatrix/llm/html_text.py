@@ -38,23 +38,28 @@ from promptmatrix.llm.session import bounded_batches, lean
 # Element names of HTML and the words that name what is not article text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template textarea iframe title svg canvas select noembed noframes xmp audio video".split())
-DROPPED = frozenset("head nav footer aside form menu dialog button label datalist search fieldset".split())
+DROPPED = frozenset("head nav footer aside form menu dialog button datalist search fieldset".split())
 LEAVES = frozenset("p li td th pre blockquote dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promoted promotion nav navbar navigation menu menus submenu dropdown breadcrumb breadcrumbs crumbs "
     "masthead topbar footer sidebar sidebars widget widgets comment comments commentlist disqus reply replies cookie cookies consent gdpr popup modal overlay lightbox "
-    "newsletter subscribe subscription sharing sharebar social related recommended recommendations outbrain taboola pagination pager pagenav toolbar tagcloud".split()
+    "newsletter subscribe subscription sharing sharebar social related recommended recommendations outbrain taboola pagination pager pagenav toolbar tagcloud "
+    "banner banners rail respond notice notices alert alerts signup signin login register skip".split()
 )
-#: Words that name noise outside an article, and inside it only blocks of link text.
-WEAK = frozenset("banner rail aside respond discussion notice notices alert alerts signup signin login register share follow teaser teasers foot toc skip hidden copyright legal disclaimer".split())
-LAYOUT = frozenset("box container wrapper wrap list bar block area section inner outer top bottom left right item items unit slot panel group row col column link links button buttons icon icons site page global main post article entry content body text header title form thread count area zone strip cell holder primary secondary".split())
+#: Words that name noise outside an article, and inside it only blocks of link text; beside a word of noise they name noise.
+WEAK = frozenset("aside discussion share follow teaser teasers foot toc hidden copyright legal disclaimer".split())
+#: A name that ends in one of these is that, whatever stands before it; and words before others that only tell of their absence.
+HEADS = frozenset("comment comments commentlist ad ads advert adverts advertisement advertisements".split())
+STATES = frozenset("no not without has with is".split())
+LAYOUT = frozenset("posts stories news articles reads box container wrapper wrap list bar block area section inner outer top bottom left right item items unit slot panel group row col column link links button buttons icon icons site page global main post article entry content body text header title form thread count area zone strip cell holder primary secondary".split())
 GOOD = frozenset("article articlebody body content entry main page post text story blog prose".split())
 _SOUND = ("article", "main")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_VALUE, _HIDDEN = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), re.compile(r"(?:^|\s)hidden(?:=|\s|/|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 _FENCE = tuple("ul ol dl table body html article section main div".split())
@@ -66,11 +71,14 @@ def _named(value: str) -> tuple[bool, bool, bool]:
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name) if not w.isdigit()] or [name.lower()]
         whole = "".join(words)
+        plain = all(w in NOISE or w in WEAK or w in LAYOUT or len(w) == 1 for w in words)  # a single letter: of a size, as in 300x250
         if whole in GOOD:
             good = True
-        elif whole in NOISE or all(w in NOISE or w in LAYOUT for w in words) and any(w in NOISE for w in words):
+        elif words[0] in STATES and len(words) > 1:
+            continue
+        elif whole in NOISE or words[-1] in HEADS or plain and any(w in NOISE for w in words):
             noise = True
-        elif all(w in NOISE or w in WEAK or w in LAYOUT for w in words) and any(w in NOISE or w in WEAK for w in words):
+        elif plain and any(w in WEAK for w in words):
             weak = True
     return noise, weak, good
 
@@ -94,7 +102,7 @@ class _Page:
                 elif name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     out = True
             free = tag in ("html", "body", "article", "main", *HEADINGS) or good
-            out, weak = out or noise and not free or bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes)), weak and not free
+            out, weak = out or noise and not free or bool(_HIDDEN.search(_VALUE.sub("=", attributes))), weak and not free
             menu = noise or weak
         out = out or (tag == "header" or weak) and not self.sound[parent]
         for column, value in ((self.parent, parent), (self.tag, tag), (self.out, out), (self.good, good), (self.weak, weak), (self.menu, menu), (self.sound, self.sound[parent] or tag in _SOUND)):

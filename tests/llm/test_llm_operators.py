@@ -252,6 +252,25 @@ def test_html_keeps_what_belongs_to_the_article():
     assert html_text.main_text(page) == "T First sentence, with words. a+b Ref one Ref two Price 5 Legal words, in the article. Inner. fallback"
 
 
+#: Names of blocks inside an article that are not of the article, and names that are.
+GONE = (
+    "cookie-notice notice notices footer-notice ad-banner google-ad ad ads adSlot ad_box sponsored sponsor-box promo reader-comments user-comments comment-respond comments commentlist comment-form newsletter-signup "
+    "newsletter signup-box subscribe related related-posts social sharing share-bar-social sidebar left-sidebar widget widget-area nav-menu breadcrumb breadcrumbs pagination pager toolbar popup modal overlay cookie-banner "
+    "consent gdpr-box alert alert-box banner top-banner login-form register-box recommended recommendations disqus tag-ads skip-links menu submenu advertisement outbrain"
+).split()
+STAYS = "intro content note no-sidebar has-ads with-comments figure quote share-price-table read-more story text-block chapter legal disclaimer noticeable adventure commentary menu-of-the-day-review notice-period-law banner-history-essay".split()
+
+
+def test_html_blocks_by_name():
+    words = "First words of the block, with a comma."
+    for names, stays in ((GONE, False), (STAYS, True)):
+        for name in names:
+            for attribute in (f'class="{name}"', f"id={name}", f'data-x="1" CLASS=\'{name}\''):
+                page = f"<body><article><h1>T</h1><p>Before, and more.</p><div {attribute}><p>{words}</p></div><p>After.</p></article></body>"
+                assert (words in html_text.main_text(page)) is stays, (name, attribute)
+    assert html_text.main_text('<article><p>A.</p><div id="ad_300x250"><p>Buy now.</p></div><p title="a hidden gem">B.</p><p hidden>C.</p><p data-a="x" hidden="">D.</p><p>See <label>E</label> it.</p><form><label>F</label></form></article>') == "A. B. See E it."
+
+
 @pytest.mark.parametrize("part", ["<div>x", "<blockquote>x", "<li>x", "</section>x", "<section>x</div>", "<a>x", "<!--x", "&lt;", "<p", "<article><section>x</div></p>"])
 def test_html_in_linear_time(part):
     def seconds(n):
