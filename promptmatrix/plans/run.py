@@ -34,7 +34,7 @@ from promptmatrix.sources import files, folders, paged
 from promptmatrix.sources.store import Store
 from promptmatrix.streaming import waves
 
-#: Cells of the first wave of a run that makes calls, and seconds that a wave should take: waves double until they do, and a crash loses one wave.
+#: Cells of the first wave of a run that makes calls, and seconds that a wave should take: waves grow up to eightfold until they do, and a crash loses one wave.
 FIRST_WAVE, WAVE_SECONDS = 256, 60
 _MESSAGES = "array<struct<role:string, parts:array<struct<type:string, text:string, media_type:string, sha256:string, source:string>>>>"
 
@@ -627,8 +627,7 @@ def run(
         tally.judge = Judged(tally.judge.cost + judge.cost, tally.judge.calls + judge.calls, tally.judge.attempts + judge.attempts)
         failed, taken = failed + n - sum(r["n_passed"] for r in own), taken + n
         dearest = max(dearest, (cost + judge.cost) / n) if n else dearest
-        if time.monotonic() - began < WAVE_SECONDS / 2:
-            most = max(most, 2 * n)
+        most = max(most, int(n * min(8.0, WAVE_SECONDS / max(0.1, time.monotonic() - began))))
         if unpriced and capped and not warnings:
             warnings.append("some calls have no known cost, so the cap can not hold them")
         dropped.append(drop)
