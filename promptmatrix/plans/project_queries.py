@@ -9,7 +9,9 @@ from __future__ import annotations
 import csv
 import json
 import tempfile
+import uuid
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +50,20 @@ def make(path):
 
 
 def folder() -> Path:
-    return Path(tempfile.mkdtemp(prefix="project-"))
+    """A new folder where driver and executors both look: in spark.checkpoint.dir, if that is on a file system that paths reach."""
+    shared = urlparse(runs.shared_folder(SparkSession.active()))
+    if shared.scheme not in ("", "file"):
+        return Path(tempfile.mkdtemp(prefix="project-"))
+    place = Path(shared.path) / f"project-{uuid.uuid4().hex}"
+    place.mkdir(parents=True)
+    return place
+
+
+def customers(spark: SparkSession, d: str, base: Path) -> dict:
+    """All customers as a Parquet file of cases, written by Spark: asked by name, with the segment expected, and points of their number."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("ask"), (F.col("c_custkey") % 6).alias("points"), F.col("c_mktsegment").alias("expected"))
+    rows.write.parquet((base / "customers.parquet").as_uri())
+    return {"file": "customers.parquet"}
 
 
 def project(base: Path | str, **parts) -> spec.Config:
@@ -230,25 +245,25 @@ def failed_calls(spark, d):
     return bad.results.unionByName(runs.run(spark, project(folder(), cases=given[::2])).results).select("case_id", "error")
 
 
-@query("SELECT 'n' || n_nationkey AS case_id, 0.8::DOUBLE AS score, true AS passed, 'fine' AS detail FROM nation")
+JUDGED = {
+    "models": [{"id": "echo", "provider": "mock"}, {"id": "j", "provider": "mock", "role": "judge", "params": {"cost": 0.5}}],
+    "judges": {"quality": {"model": "j", "rubric": [{"role": "user", "content": '{"score": {{ vars.points }}, "rationale": "{{ output }}"}'}]}},
+    "scorecard": [{"criterion": "judged", "scorer": {"type": "llm-judge", "judge": "quality", "scale": 5}}],
+}
+
+
+@query("SELECT c_custkey::VARCHAR AS case_id, (c_custkey % 6)::DOUBLE / 5 AS score, (c_custkey % 6) * 2 >= 5 AS passed, c_name AS detail FROM customer")
 def judged_run(spark, d):
-    parts = {
-        "models": [{"id": "echo", "provider": "mock"}, {"id": "j", "provider": "mock", "role": "judge", "params": {"response": '{"score": 4, "rationale": "fine"}', "cost": 0.5}}],
-        "judges": {"quality": {"model": "j", "rubric": [{"role": "user", "content": "Grade {{ output }} for {{ vars.ask }}"}]}},
-        "scorecard": [{"criterion": "judged", "scorer": {"type": "llm-judge", "judge": "quality", "scale": 5}}],
-    }
-    done = runs.run(spark, project(folder(), cases=nations(spark, d), **parts), cache=False)
+    """A judge that says back its rubric, filled from each customer."""
+    base = folder()
+    done = runs.run(spark, project(base, cases=customers(spark, d, base), **JUDGED), cache=False)
     return done.results.select("case_id", F.col("scores")[0]["score"].alias("score"), F.col("scores")[0]["passed"].alias("passed"), F.col("scores")[0]["detail"].alias("detail"))
 
 
-@query("SELECT 25::BIGINT AS judge_calls, 25::BIGINT AS judge_attempts, 12.5::DOUBLE AS judge_cost_usd FROM nation LIMIT 1")
+@query("SELECT count(*)::BIGINT AS judge_calls, count(*)::BIGINT AS judge_attempts, count(*) * 0.5::DOUBLE AS judge_cost_usd FROM customer")
 def judge_totals(spark, d):
-    parts = {
-        "models": [{"id": "echo", "provider": "mock"}, {"id": "j", "provider": "mock", "role": "judge", "params": {"response": '{"score": 1}', "cost": 0.5}}],
-        "judges": {"quality": {"model": "j", "rubric": [{"role": "user", "content": "Grade {{ output }}"}]}},
-        "scorecard": [{"criterion": "judged", "scorer": {"type": "llm-judge", "judge": "quality"}}],
-    }
-    totals = runs.run(spark, project(folder(), cases=nations(spark, d), **parts), cache=False).meta["totals"]
+    base = folder()
+    totals = runs.run(spark, project(base, cases=customers(spark, d, base), **JUDGED), cache=False).meta["totals"]
     return spark.createDataFrame([(totals["judge_calls"], totals["judge_attempts"], totals["judge_cost_usd"])], "judge_calls long, judge_attempts long, judge_cost_usd double")
 
 
@@ -332,26 +347,30 @@ def run_artifacts(spark, d):
     return Store(c.place(c.settings.output_dir)).artifacts(spark, done.run_id).select("sha256", F.col("content").cast("string").alias("content"))
 
 
-@query("SELECT 'the runs drew different samples (5 with seed 1, 5 with seed 2)' AS note FROM nation LIMIT 1")
+@query("SELECT c_mktsegment AS segment, 'the runs drew different samples (' || (count(*) // 2) || ' with seed 1, ' || (count(*) // 2) || ' with seed 2)' AS note FROM customer GROUP BY 1 HAVING count(*) > 1")
 def comparison_note(spark, d):
-    a, b = ({"id": n, "matrix": {"cases": "x"}, "selection": {"sample": 5, "seed": s, "available": 25}} for n, s in (("a", 1), ("b", 2)))
-    return spark.createDataFrame([(runs.selection_note(a, b),)], "note string")
+    """Two runs, each over half of a segment's customers, drawn with other seeds."""
+    sizes = table(spark, d, "customer").groupBy("c_mktsegment").count().where("count > 1").collect()
+    of = lambda n, seed: {"id": str(seed), "matrix": {"cases": "x"}, "selection": {"sample": n // 2, "seed": seed, "available": n}}
+    return spark.createDataFrame([(name, runs.selection_note(of(n, 1), of(n, 2))) for name, n in sizes], "segment string, note string")
 
 
-@query("SELECT 6::BIGINT AS concurrency, true AS cache FROM nation LIMIT 1")
+@query("SELECT (SELECT count(*) FROM nation)::BIGINT AS concurrency, true AS cache FROM region LIMIT 1")
 def settings_layers(spark, d):
+    """The user's file, under the configuration, under the environment, under the command line: numbers counted in the tables."""
     base = folder()
+    regions, all_nations = table(spark, d, "region").count(), nations(spark, d)
     (base / "user.yaml").write_text("concurrency: 3\ncache: false\n")
-    c = project(base, cases=nations(spark, d), settings={"concurrency": 5})
-    got = settings.resolve(c, {"concurrency": 6}, {"PROMPTMATRIX_USER_CONFIG": str(base / "user.yaml"), "PROMPTMATRIX_CACHE": "on"}).settings
+    c = project(base, cases=all_nations, settings={"concurrency": regions})
+    got = settings.resolve(c, {"concurrency": len(all_nations)}, {"PROMPTMATRIX_USER_CONFIG": str(base / "user.yaml"), "PROMPTMATRIX_CACHE": "on"}).settings
     return spark.createDataFrame([(got.concurrency, got.cache)], "concurrency long, cache boolean")
 
 
-@query("SELECT i::BIGINT AS wave, least(i * 6, 25)::BIGINT AS cells FROM range(1, 6) AS r(i)")
+@query("SELECT i::BIGINT AS wave, least(i * (n // 4 + 1), n)::BIGINT AS cells, least(i * (n // 4 + 1), n)::BIGINT AS passed FROM (SELECT count(*) AS n FROM customer), LATERAL (SELECT unnest(range(1, (n + n // 4) // (n // 4 + 1) + 1)) AS i)")
 def wave_tallies(spark, d):
-    """What a listener hears of a run that goes in waves of six."""
-    c = project(folder(), cases=nations(spark, d), models=[{"id": "echo", "provider": "mock", "params": {"fail_times": 0}}])
-    told: list[int] = []
-    runs.run(spark, c, on_wave=lambda tally: told.append(tally.cells), wave_cells=6)
-    return spark.createDataFrame(list(enumerate(told, 1)), "wave long, cells long")
-
+    """What a listener hears of a run over all customers that goes in four waves."""
+    base, quarter = folder(), table(spark, d, "customer").count() // 4 + 1
+    c = project(base, cases=customers(spark, d, base), models=[{"id": "echo", "provider": "mock", "params": {"fail_times": 0}}], scorecard=[{"criterion": "says", "scorer": {"type": "contains", "value": "Customer", "case_sensitive": False}}])
+    told: list[tuple[int, int]] = []
+    runs.run(spark, c, on_wave=lambda tally: told.append((tally.cells, tally.passed)), wave_cells=quarter)
+    return spark.createDataFrame([(i, n, ok) for i, (n, ok) in enumerate(told, 1)], "wave long, cells long, passed long")

@@ -540,7 +540,7 @@ def run(
     of the budget can surely pay at the dearest price seen; with ``fail_fast``
     waves double from one cell.  A case source is read page by page, each page
     once, as far as waves ask for.  ``keys`` are credentials by the name of
-    their environment variable, for providers; ``wave_cells`` caps a wave.
+    their environment variable, for providers; ``wave_cells`` sets the size of a wave.
     """
     how = how or Selection()
     if how.max_cost is not None and (not math.isfinite(how.max_cost) or how.max_cost < 0):
@@ -597,7 +597,7 @@ def run(
             stopped = "fail-fast"
         if stopped:
             return 0
-        n = min(wave_cells or 1 << 62, most if not plain else 1 << 62)
+        n = wave_cells or (1 << 62 if plain else most)
         if capped:
             n = 1 if not taken else min(n, max(1, math.ceil((how.max_cost - tally.spent) / dearest)) if dearest else n)
         return min(n, max(1, taken)) if how.fail_fast else n
