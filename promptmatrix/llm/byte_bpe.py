@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -52,6 +53,7 @@ class Vocabulary:
     """Tokens as strings of bytes (one character a byte) with their ranks, which are their ids, and the halves of each by its last merge."""
 
     rank: dict[str, int]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
     halves: dict[int, tuple[int, int] | None] = field(default_factory=dict)  # None: a single byte; missing: the merges do not make it
     pattern: str = PATTERN
 
@@ -197,6 +199,17 @@ class Coder:
             yield self.block([part])[0]
 
 
+_KEPT: dict[str, Coder] = {}
+
+
+def coder_of(words: Vocabulary) -> Coder:
+    """The coder of a vocabulary in this worker: a task goes on with what the tasks before have learned, within the same bounds.  One vocabulary is kept at a time."""
+    if words.name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[words.name] = Coder(words)
+    return _KEPT[words.name]
+
+
 class Prefixes:
     """A piece with the last token of each of its byte prefixes; it can grow and be edited."""
 
@@ -312,7 +325,7 @@ def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = coder_of(shared.value)
         for b in batches:
             flat, count = [np.zeros(0, np.int32)], np.zeros(b.num_rows, np.int64)
             for rows, parts in blocks(b.column(1)):
