@@ -45,6 +45,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces whose ids a task keeps, the longest of them in characters, pairs of tokens it keeps, and characters of a slice and of the slices worked on at once.
 KNOWN_PIECES, KNOWN_LENGTH, KNOWN_PAIRS, SLICE, BLOCK = 1 << 19, 64, 1 << 20, 1 << 18, 1 << 21
 _NEVER = 1 << 60
+#: Bytes at the end of a prefix that say how long the tokens ending there can be.
+ENDS = 4
 
 
 @dataclass
@@ -101,10 +103,11 @@ class Coder:
         self.split = regex.compile(words.pattern).findall
         self.size = max(self.rank.values(), default=0) + 1
         self.longest = max(map(len, self.rank), default=1)
-        self.reach: dict[str, int] = {}  # the longest token with this end of two bytes
+        self.reach: dict[str, int] = {}  # the longest token with this end of ENDS bytes; without one, none is as long as that
         self.made = {t: n for t, n in self.rank.items() if n in self.halves}
         for t in self.made:
-            self.reach[t[-2:]] = max(len(t), self.reach.get(t[-2:], 0))
+            if len(t) >= ENDS:
+                self.reach[t[-ENDS:]] = max(len(t), self.reach.get(t[-ENDS:], 0))
         self.fits: dict[int, bool] = {}
         self.ends: dict[tuple[int, int], tuple[list[int], list[str]]] = {}
         self.known: dict[str, list[int]] = {}
@@ -149,7 +152,7 @@ class Coder:
     def last_token(self, piece: str, end: int, last: list[int | None]) -> int | None:
         """The one token that ends the encoding of ``piece[:end]``, given those of all shorter prefixes."""
         made, fits, size, follow = self.made, self.fits, self.size, self.may_follow
-        most = self.reach.get(piece[end - 2 : end], 1) if end > 1 else 1
+        most = self.reach.get(piece[end - ENDS : end], ENDS - 1) if end >= ENDS else end
         for start in range(end - most if end > most else 0, end):
             token = made.get(piece[start:end])
             if token is None:
@@ -180,7 +183,7 @@ class Coder:
     def block(self, parts: list[str]) -> list[list[int]]:
         """The ids of each of some slices of texts."""
         cut, known = [self.split(p) for p in parts], self.known
-        new = set().union(*cut) - known.keys()
+        new = {p for p in set().union(*cut) if p not in known}
         if len(known) + len(new) > KNOWN_PIECES:
             known.clear()
             new = set().union(*cut)
