@@ -13,7 +13,7 @@ import uuid
 from pathlib import Path
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmatrix import export, settings, spec
@@ -103,6 +103,33 @@ def csv_cases(spark, d):
     return cases.dataset(spark, path).select("case_id", F.get_json_object("vars", "$.name").alias("name"), one(F.col("expected")).alias("expected"))
 
 
+@query("SELECT doc_id::VARCHAR AS case_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS case_pos, md5(text) AS text_md5, lang AS expected FROM documents")
+def jsonl_parts(spark, d):
+    """All documents as a folder of JSON lines that Spark writes and reads in splits."""
+    path = folder() / "documents.jsonl"
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("expected"), "doc_id")
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.json(path.as_uri())
+    found = cases.dataset(spark, path)
+    return found.select("case_id", "case_pos", F.md5(_text(found, "vars", "$.text").cast("binary")).alias("text_md5"), _text(found, "expected", "$").alias("expected"))
+
+
+@query("""SELECT 'case-' || row_number() OVER (ORDER BY o_orderkey) AS case_id, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS case_pos, o_orderkey::VARCHAR AS order_key,
+    o_orderpriority || ', "' || o_orderstatus || '"' || chr(10) || chr(10) || o_orderkey AS ask, o_orderstatus AS expected FROM orders""")
+def csv_parts(spark, d):
+    """All orders as a folder of CSV with quotes, commas and line breaks in its cells."""
+    path = folder() / "orders.csv"
+    ask = F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"\n\n'), "o_orderkey")
+    rows = table(spark, d, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").alias("order_key"), ask.alias("ask"), F.col("o_orderstatus").alias("expected"))
+    rows.write.options(header=True, escape='"').csv(path.as_uri())
+    found = cases.dataset(spark, path)
+    return found.select("case_id", "case_pos", _text(found, "vars", "$.order_key").alias("order_key"), _text(found, "vars", "$.ask").alias("ask"), _text(found, "expected", "$").alias("expected"))
+
+
+def _text(found: DataFrame, column: str, path: str) -> Column:
+    """A text out of a column of JSON."""
+    return F.try_variant_get(F.try_parse_json(found[column]), path, "string")
+
+
 @query("SELECT 'case-' || row_number() OVER (ORDER BY doc_id) AS case_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS case_pos, doc_id, md5(text) AS text_md5 FROM documents")
 def parquet_cases(spark, d):
     found = cases.parquet(spark, f"{d}/documents.parquet")

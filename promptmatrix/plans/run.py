@@ -30,7 +30,7 @@ from promptmatrix.functions.text import hash_case_id, scrub
 from promptmatrix.operators import matrix, requests, results, scoring
 from promptmatrix.providers import calls, stage
 from promptmatrix.sources import cases as case_files
-from promptmatrix.sources import files, folders, paged
+from promptmatrix.sources import files, folders, paged, splits
 from promptmatrix.sources.store import Store
 from promptmatrix.streaming import waves
 
@@ -432,7 +432,7 @@ def score(spark: SparkSession, done: DataFrame, config: specs.Config, cache: Res
 
 
 def fingerprint(config: specs.Config) -> str:
-    """SHA-256 of the configuration and of every file that it names."""
+    """SHA-256 of the configuration and of every file that it names; of a folder of cases, the names, sizes and times of its files count."""
     found = [c for c in ([config.cases.file] if isinstance(config.cases, specs.CaseFile) else [])]
     found += [v.prompt for v in config.variants if isinstance(v.prompt, str)] + [j.rubric for j in config.judges.values() if isinstance(j.rubric, str)]
     for c in config.scorecard:
@@ -442,7 +442,13 @@ def fingerprint(config: specs.Config) -> str:
     digest = hashlib.sha256(snapshot(config).encode())
     for name in sorted(set(found)):
         path = config.base / name
-        digest.update(hashlib.sha256(path.read_bytes()).digest() if path.is_file() else b"<missing>")
+        if path.is_file():
+            with path.open("rb") as f:
+                digest.update(hashlib.file_digest(f, "sha256").digest())
+        elif path.is_dir():
+            digest.update(repr([(p.name, p.stat().st_size, p.stat().st_mtime_ns) for p in splits.parts(path)]).encode())
+        else:
+            digest.update(b"<missing>")
     return digest.hexdigest()
 
 
