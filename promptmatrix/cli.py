@@ -172,7 +172,7 @@ def execute(args: argparse.Namespace) -> int:
         good = done.meta["status"] == "complete" and done.meta["aggregates"]["overall"]["cases"] > 0 and done.passed is not False
         return 0 if good else 1
     if args.command == "list":
-        for m in reversed(store.runs()[-max(1, args.limit) :]):
+        for m in reversed(store.runs(max(1, args.limit))):
             print(f"{m['id']}  {m['status']:10}  {m.get('label') or ''}")
         return 0
     if args.command == "baseline":

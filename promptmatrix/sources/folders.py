@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from promptmatrix.errors import StoreError
@@ -74,6 +75,32 @@ class Folder:
         fs.delete(path, False)
         fs.rename(beside, path)
 
+    def create(self, name: str, text: str) -> bool:
+        """Writes a new file; False if there is one of that name already."""
+        if self.local is not None:
+            self.local.mkdir(parents=True, exist_ok=True)
+            part = self.local / f".{name}.{secrets.token_hex(4)}"
+            part.write_text(text, encoding="utf-8")
+            try:
+                os.link(part, self.local / name)  # whole at once, never over another
+            except FileExistsError:
+                return False
+            finally:
+                part.unlink()
+            return True
+        fs, path = self._jvm(name)
+        if fs.exists(path):
+            return False
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError:
+            if fs.exists(path):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
     def append(self, name: str, text: str) -> None:
         old = self.read(name) or ""
         self.write(name, old + text)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import secrets
 import time
+from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmatrix.errors import StoreError
 from promptmatrix.sources.files import RESULT
 from promptmatrix.sources.folders import Folder
+from promptmatrix.sources.registry import Registry, brief
 
 RESERVED = frozenset({"latest", "baseline"})
 _ARTIFACT = "sha256 string, media_type string, path string, content binary"
@@ -29,11 +34,25 @@ def _object(text: str | None) -> dict[str, Any] | None:
     return value if isinstance(value, dict) else None
 
 
+def _with_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contents of the files of sha256, media_type and path, one file held at a time; a file that has gone or changed since it was sent is left out."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            try:
+                content = Path(row["path"]).read_bytes()
+            except OSError:
+                continue
+            if hashlib.sha256(content).hexdigest() != row["sha256"]:
+                continue
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], t) for k, v, t in zip(("sha256", "media_type", "path", "content"), (row["sha256"], row["media_type"], row["path"], content), (*[pa.string()] * 3, pa.binary()), strict=True)})
+
+
 class Store:
     """Metadata through the folder's file system, tables through Spark at the same place, so executors of a cluster write where the driver looks."""
 
     def __init__(self, root: Path | str):
         self.root = Folder(root)
+        self.registry = Registry(self.root, lambda run_id: _object(self._run(run_id).read("run.json")))
 
     def _run(self, run_id: str) -> Folder:
         if not run_id or "/" in run_id or run_id.startswith("."):
@@ -53,11 +72,15 @@ class Store:
         run_id = f"{now:%Y%m%dT%H%M%S}{now.microsecond // 1000:03d}-{secrets.token_hex(2)}"
         base = {"format_version": 1, "id": run_id, "label": label, "status": "running", "created_ns": time.time_ns(), "started_at": now.isoformat(timespec="seconds"), "finished_at": None}
         self._write(self._run(run_id), "run.json", base | meta)
+        self.registry.put(base | meta)
         return run_id
 
     def update(self, run_id: str, **new: Any) -> dict[str, Any]:
-        meta = self.meta(run_id) | new
+        old = self.meta(run_id)
+        meta = old | new
         self._write(self._run(run_id), "run.json", meta)
+        if brief(meta) != brief(old):
+            self.registry.put(meta)
         return meta
 
     def finalize(self, run_id: str, complete: bool, **new: Any) -> dict[str, Any]:
@@ -88,21 +111,23 @@ class Store:
         spark = media.sparkSession
         new = media.groupBy("sha256").agg(F.min("media_type").alias("media_type"), F.min("path").alias("path"))
         new = new.join(self.artifacts(spark, run_id).select("sha256"), "sha256", "left_anti")
-        paths = [r[0] for r in new.select("path").toLocalIterator()]
-        if not paths:
-            return
-        content = spark.read.format("binaryFile").load(paths).select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
-        kept = new.join(content, "sha256").select("sha256", "media_type", "path", "content")
-        kept.write.mode("append").parquet(self._run(run_id).sub("artifacts").uri)
+        new.repartition("sha256").mapInArrow(_with_content, _ARTIFACT).write.mode("append").parquet(self._run(run_id).sub("artifacts").uri)
 
     def artifacts(self, spark: SparkSession, run_id: str) -> DataFrame:
         place = self._run(run_id).sub("artifacts")
         return spark.read.schema(_ARTIFACT).parquet(place.uri) if place.exists() else spark.createDataFrame([], _ARTIFACT)
 
-    def runs(self) -> list[dict[str, Any]]:
-        """The readable runs, oldest first."""
-        found = [_object(self.root.sub(name).read("run.json")) for name in self.root.names()]
-        return sorted((m for m in found if m and "id" in m), key=lambda m: (m.get("created_ns") or 0, m["id"]))
+    def newest(self, label: str | None = None) -> Iterator[dict[str, Any]]:
+        """The readable runs, newest first; those created under a label, if one is given.  Only runs that are asked for are opened."""
+        for run in reversed(self.registry.runs()):
+            if label is None or run.get("label") == label:
+                meta = _object(self._run(run["id"]).read("run.json"))
+                if meta and "id" in meta:
+                    yield meta
+
+    def runs(self, limit: int | None = None) -> list[dict[str, Any]]:
+        """The readable runs, oldest first; the last ``limit`` of them, if it is given."""
+        return list(islice(self.newest(), limit))[::-1]
 
     def set_baseline(self, ref: str) -> str:
         run_id = self.resolve(ref)
@@ -119,15 +144,16 @@ class Store:
             if pinned is None:
                 raise StoreError("no baseline is set")
             return pinned
-        runs = self.runs()
         if ref == "latest":
-            if not runs:
+            last = next(self.newest(), None)
+            if last is None:
                 raise StoreError("there are no runs")
-            return runs[-1]["id"]
-        for meta in runs:
-            if meta["id"] == ref:
+            return last["id"]
+        if ref and "/" not in ref and not ref.startswith("."):
+            meta = _object(self._run(ref).read("run.json"))
+            if meta and meta.get("id") == ref:
                 return ref
-        labelled = [m["id"] for m in runs if m.get("label") == ref]
-        if not labelled:
+        labelled = next(self.newest(ref), None)
+        if labelled is None:
             raise StoreError(f"no run with id or label {ref!r}")
-        return labelled[-1]
+        return labelled["id"]

@@ -78,7 +78,7 @@ def compare_runs(spark: SparkSession, config: str, a: str, b: str) -> dict[str,
 
 
 def list_runs(config: str, limit: int = 20) -> list[dict[str, Any]]:
-    found = _store(_load(config)).runs()[::-1][: max(1, limit)]
+    found = _store(_load(config)).runs(max(1, limit))[::-1]
     return [{k: m.get(k) for k in ("id", "label", "status", "started_at")} for m in found]
 
 
