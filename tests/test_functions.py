@@ -245,6 +245,18 @@ def test_text_functions(spark):
     assert row.a == "a" * 60 + "…" and row.n.endswith("(1 more chars)") and row.b == "' =1" and row.c == "&lt;&amp;&#x27;&quot;&gt;" and row.d == "x\\|y z" and row.s == "key [redacted] short"
 
 
+def test_scorers_send_what_they_read(spark):
+    """Only the inputs that a scorer names go to Python, so a broken one that it does not read changes nothing."""
+    row = spark.createDataFrame([('{"score": 1}', "no JSON", "1", "no JSON either")], "output string, expected string, label string, case string")
+    inputs = scorers.Inputs(*(F.col(c) for c in row.columns))
+    for kind, params, sent in (("json-schema", {"schema": {"type": "object"}}, {"output"}), ("llm-judge", {}, {"output"}), ("agreement", {}, {"output", "label"})):
+        scored = row.select(scorers.bind(kind, params)(inputs).alias("s"))
+        assert scored.first().s.passed is True, kind
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        call = next(line for line in plan.splitlines() if "ArrowEvalPython" in line).split("ArrowEvalPython [run(")[1].split(")")[0]
+        assert {a.strip().split("#")[0] for a in call.split(",")} == sent, kind
+
+
 def test_datasets(spark, tmp_path):
     (tmp_path / "doc.pdf").write_bytes(b"x")
     (tmp_path / "c.jsonl").write_text('﻿{"id": "a", "q": 1, "expected": "file://literal", "doc": "file://doc.pdf"}\n\n{"q": null}\n')
