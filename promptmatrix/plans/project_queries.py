@@ -34,15 +34,15 @@ class Suppliers:
     """Pages of a Parquet table; the cursor is the next row."""
 
     def __init__(self, path):
-        self.rows = pyarrow.parquet.read_table(path, columns=["s_suppkey", "s_name"]).sort_by("s_suppkey").to_pylist()
+        self.rows = pyarrow.parquet.read_table(path, columns=["s_suppkey", "s_name"]).sort_by("s_suppkey").combine_chunks()
 
     def count(self):
-        return len(self.rows)
+        return self.rows.num_rows
 
     def fetch(self, cursor, limit):
         at = int(cursor or 0)
-        page = [Case(id=str(r["s_suppkey"]), vars={"ask": r["s_name"]}) for r in self.rows[at : at + limit]]
-        return Page(page, str(at + limit) if at + limit < len(self.rows) else None)
+        page = [Case(id=str(r["s_suppkey"]), vars={"ask": r["s_name"]}) for r in self.rows.slice(at, limit).to_pylist()]
+        return Page(page, str(at + limit) if at + limit < self.rows.num_rows else None)
 
 def make(path):
     return Suppliers(path)
@@ -168,11 +168,11 @@ def source_count(spark, d):
 
 @query("SELECT page, count(*) OVER (PARTITION BY page)::BIGINT AS n, case_id FROM (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) // 40 AS page, s_suppkey::VARCHAR AS case_id FROM supplier)")
 def page_waves(spark, d):
-    """A source drained as a stream, page by page."""
+    """A source drained as a stream, in whole pages; waves write theirs under their number."""
     base, params = _paged(d)
-    seen: list[tuple] = []
-    waves.drain(spark, "suppliers.py:make", base, f"{runs.shared_folder(spark)}/{base.name}", lambda page, number: seen.extend((number, r.case_id) for r in page.select("case_id").collect()), params, page_size=40)
-    rows = spark.createDataFrame(seen, "page long, case_id string")
+    place = f"{runs.shared_folder(spark)}/{uuid.uuid4().hex}"
+    waves.drain(spark, "suppliers.py:make", base, f"{place}/offsets", lambda pages, number: pages.select("page", "case_id").write.mode("overwrite").parquet(f"{place}/pages/wave={number}"), params, page_size=40)
+    rows = spark.read.schema("page long, case_id string").parquet(f"{place}/pages").select("page", "case_id")
     return rows.join(rows.groupBy("page").agg(F.count("*").alias("n")), "page").select("page", "n", "case_id")
 
 

@@ -544,7 +544,7 @@ def run(
     hears of it.  A run whose models are plain mocks is one wave.  With
     ``max_cost`` a pilot of one cell is followed by as many cells as the rest
     of the budget can surely pay at the dearest price seen; with ``fail_fast``
-    waves double from one cell.  A case source is read page by page, each page
+    waves double from one cell.  A case source is read in whole pages, each
     once, as far as waves ask for.  ``keys`` are credentials by the name of
     their environment variable, for providers; ``wave_cells`` sets the size of a wave.
     """
@@ -661,8 +661,9 @@ def run(
             drop()
         dropped.clear()
 
-    if bound.streamed:
-        drained = waves.drain(spark, config.cases.source, config.base, f"{shared_folder(spark)}/{uuid.uuid4().hex}", lambda page, _: through(Book(replace(bound, cases=page))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: bool(size()))
+    if bound.streamed:  # whole pages, as many as the next wave asks for
+        each = max(1, len(bound.variants) * len(bound.models))
+        drained = waves.drain(spark, config.cases.source, config.base, f"{shared_folder(spark)}/{uuid.uuid4().hex}", lambda pages, _: through(Book(replace(bound, cases=pages.drop("page")))), config.cases.params, config.cases.page_size, config.cases.limit, lambda: -(-size() // each))
         if not drained and not stopped:
             warnings.append("the case source gave no cases")
     else:

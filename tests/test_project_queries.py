@@ -26,3 +26,17 @@ def test_a_results_log_is_written_beside_the_project(spark, tmp_path, shared):
     d = put(tmp_path, "nation", n_nationkey=pa.array(range(4), pa.int32()), n_name=["A", "B", "C", "D"])
     got = {(r.case_id, r.output, r.passed) for r in project_queries.results_log_read(spark, d).collect()}
     assert got == {("n0", "A", False), ("n1", "B", True), ("n2", "C", True), ("n3", "D", False)}
+
+
+def test_pages_share_starts_of_the_stream(spark, tmp_path, shared, monkeypatch):
+    """600 suppliers are 15 pages of 40, which go in few waves."""
+    handed, drain = [], project_queries.waves.drain
+
+    def counted(spark, source, base, checkpoint, wave, *more, **named):
+        return drain(spark, source, base, checkpoint, lambda pages, number: (handed.append(number), wave(pages, number)), *more, **named)
+
+    monkeypatch.setattr(project_queries.waves, "drain", counted)
+    d = put(tmp_path, "supplier", s_suppkey=pa.array(range(1, 601), pa.int32()), s_name=[f"S{i}" for i in range(600)])
+    got = sorted((r.page, r.n, int(r.case_id)) for r in project_queries.page_waves(spark, d).collect())
+    assert got == [(i // 40, 40, i + 1) for i in range(600)]
+    assert len(handed) == 1
