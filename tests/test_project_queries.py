@@ -40,3 +40,27 @@ def test_pages_share_starts_of_the_stream(spark, tmp_path, shared, monkeypatch):
     got = sorted((r.page, r.n, int(r.case_id)) for r in project_queries.page_waves(spark, d).collect())
     assert got == [(i // 40, 40, i + 1) for i in range(600)]
     assert len(handed) == 1
+
+
+def test_csv_cases_leave_the_driver_out(spark, tmp_path, shared, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows of the table came to the driver")
+
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", refused)
+    names = ['a, "b"', " c ", "d"]
+    d = put(tmp_path, "customer", c_custkey=pa.array([1, 2, 3], pa.int32()), c_name=names, c_mktsegment=["x", None, "z,"])
+    got = sorted((r.case_id, r.name, r.expected) for r in project_queries.csv_cases(spark, d).collect())
+    assert got == [("1", names[0], "x"), ("2", names[1], None), ("3", names[2], "z,")]
+
+
+def test_borders_of_waves_are_counted_not_sorted(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("the cells were sorted")
+
+    ords = [3 * i * i for i in range(300)]
+    book = object.__new__(project_queries.runs.Book)
+    book.cells, book.count = spark.createDataFrame([(x,) for x in ords], "cell_ord long"), len(ords)
+    monkeypatch.setattr(type(book.cells), "orderBy", refused)
+    got = [sorted(r.cell_ord for r in part.collect()) for part in book.waves(lambda: 130)]
+    assert got == [ords[:130], ords[130:260], ords[260:]]
+    assert [project_queries.runs.matrix.border(book.cells, n, ranges=7) for n in (1, 2, 77, 300)] == [ords[i - 1] for i in (1, 2, 77, 300)]
