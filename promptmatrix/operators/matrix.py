@@ -71,6 +71,21 @@ def _listed(rows: DataFrame, order: str) -> list[Column]:
     return [F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields)) for r in sorted(rows.collect(), key=lambda r: r[order])]
 
 
+def border(rows: DataFrame, n: int, position: str = "cell_ord", ranges: int = 1 << 14) -> int:
+    """The least position up to which there are ``n`` rows (of at least so many): counts of ranges, then of ranges inside the one that holds it."""
+    low, high = rows.agg(F.min(position), F.max(position)).first()
+    while low < high:
+        width = (high - low) // ranges + 1
+        inside = rows.where(F.col(position).between(low, high))
+        counts = inside.groupBy(F.floor((F.col(position) - low) / width).cast("long").alias("r")).agg(F.count("*").alias("n"))
+        for r, held in sorted(tuple(x) for x in counts.collect()):
+            if held >= n:
+                break
+            n -= held
+        low, high = low + r * width, min(high, low + (r + 1) * width - 1)
+    return low
+
+
 def product(variants: DataFrame, models: DataFrame, cases: DataFrame, case_major: bool = False) -> DataFrame:
     """Every variant with every model on every case, with ``cell_ord``, the order of the run and the key of a cell.
 

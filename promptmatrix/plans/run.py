@@ -525,7 +525,7 @@ class Book:
                 yield rest
                 left = 0
                 continue
-            last = rest.select("cell_ord").orderBy("cell_ord").limit(n).agg(F.max("cell_ord")).first()[0]
+            last = matrix.border(rest, n)
             yield rest.where(F.col("cell_ord") <= last)
             after, left = last, left - n
 

@@ -74,7 +74,8 @@ def called(asked: DataFrame, spec: dict[str, Any], base: str, keys: dict[str, st
 
         with ThreadPoolExecutor(part.in_flight) as pool:
             for batch in batches:
-                rows = list(pool.map(one, batch["request_key"], batch["cell_ord"], batch["sent"]))
+                spread = pool.map if part.in_flight > 1 else map  # calls one after another need no threads
+                rows = list(spread(one, batch["request_key"], batch["cell_ord"], batch["sent"]))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in COMPLETION.split(", ")]).astype({"input_tokens": "Int64", "output_tokens": "Int64"})
 
     one = asked.select("request_key", "cell_ord", F.to_json("messages", {"ignoreNullFields": "false"}).alias("sent"))
