@@ -283,11 +283,15 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: What the state needs: a store that knows maps, few old versions, and no files made large before they are filled (there are many small stores).
+#: What the state needs: a store that knows maps, few old versions, no files made large before they are filled (there are many small stores),
+#: stores closed when their task ends (the next start opens its own, so all that stay open are memory lost), and one bound on what the open ones take.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
