@@ -4,12 +4,18 @@ A stateful streaming query keeps, for every shard of the pairs of nation and
 item, a ladder: MapState maps bands of revenue to the sets of items in them,
 each item beside its revenue.  After each arrival day of a batch the highest
 occupied bands are scanned until ten items of a nation are collected; if that
-board differs from the one before, it goes up together with the items that
-have left it.  A second processor merges the boards of at most FAN shards, holding ten items of
-each, and passes on what changed in its own ten; levels of it follow each
-other until one is left per nation, which emits the changes of rank.  No task
-holds more than a shard of a nation's items, whatever the size of the input,
-and the number of shards follows the number of items.
+board differs from the one before, it is written together with the items that
+have left it.  When all batches are in, the boards of at most FAN shards are
+merged day by day, and what changed in their own ten is passed on; levels of it
+follow each other until one is left per nation, which gives the changes of rank.
+No task holds more than a shard of a nation's items or the boards of FAN shards,
+whatever the size of the input, and the number of shards follows the number of
+items.
+
+Only the ladders are state.  Spark opens a store for each partition of each
+stateful step at each start, and of each store that was opened it keeps about
+half a megabyte of native memory (its statistics, by core) until the executor
+ends; so boards, of which ten items a shard matter, have no stores of their own.
 
 Rows reach the state summed by nation, item and day within each task, so a hot
 item gives a task's worth of sums, not of rows.
@@ -27,7 +33,7 @@ from __future__ import annotations
 import contextlib
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
@@ -43,7 +49,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from promptmatrix.llm.session import checkpoint_place, lean
 
 #: Places of a board; shards whose boards one merge holds; items of a shard, about; steps of the ladder in each doubling of revenue.
-PLACES, FAN, SHARD_ITEMS, STEPS = 10, 256, 4096, 2
+PLACES, FAN, SHARD_ITEMS, STEPS = 10, 32, 4096, 2
+#: Shards at least, for the cores to share.
+LEAST_SHARDS = 256
 #: Batches, the first arrival day and the number of days they are cut over, and days after which a line is too late.
 BATCHES, FIRST_DAY, DAYS, LATE_DAYS = 8, 19723, 180, 15
 #: Sums that a task holds before it hands them on.
@@ -185,71 +193,64 @@ class Ladder(StatefulProcessor):
         pass
 
 
-class Merge(StatefulProcessor):
-    """The boards of up to FAN shards of one nation, merged; rows in: boards, rows out: a board, or at the top the changes of rank."""
+def best(boards: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    return [(x, -c) for c, x in sorted((-c, x) for b in boards.values() for x, c in b)[:PLACES]]
 
-    def __init__(self, top: bool):
-        self.top = top
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.boards = handle.getMapState("boards", "shard long", "items binary, cents binary")
+def merge(top: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The boards of up to FAN shards of one nation, merged; rows in: boards, rows out: boards, or at the top the changes of rank."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        boards = {s: list(zip(_unpacked(i), _unpacked(c), strict=True)) for (s,), (i, c) in self.boards.iterator()}
-        came = pd.concat(list(rows)).sort_values(["arrival_day", "shard"], kind="stable")
-        was, touched, out = self.best(boards), set(), []
-        for day, part in came.groupby("arrival_day", sort=True):
+    def merged(key: tuple, came: pd.DataFrame) -> pd.DataFrame:
+        boards: dict[int, list[tuple[int, int]]] = {}
+        was: list[tuple[int, int]] = []
+        out: list[tuple] = []
+        for day, part in came.sort_values(["arrival_day", "shard"], kind="stable").groupby("arrival_day", sort=True):
             gone: dict[int, int] = {}
             for s, items, cents, left, left_cents in zip(part["shard"], part["items"], part["cents"], part["left"], part["left_cents"], strict=True):
                 boards[int(s)] = list(zip(map(int, items), map(int, cents), strict=True))
                 gone.update(zip(map(int, left), map(int, left_cents), strict=True))
-                touched.add(int(s))
-            now = self.best(boards)
+            now = best(boards)
             if now == was:
                 continue
             worth = gone | {x: c for b in boards.values() for x, c in b}
-            if self.top:
+            if top:
                 old, new = ({x: i for i, (x, _) in enumerate(b, 1)} for b in (was, now))
                 for x in sorted(old.keys() | new.keys()):
                     a, b = old.get(x), new.get(x)
                     if a != b:
                         out.append((key[0], int(day), x, "enter" if a is None else "exit" if b is None else "move", a, b, worth[x]))
             else:
-                left = [x for x, _ in was if x not in {y for y, _ in now}]
+                held = {x for x, _ in now}
+                left = [x for x, _ in was if x not in held]
                 out.append((key[0], int(day), key[1], [x for x, _ in now], [c for _, c in now], left, [worth[x] for x in left]))
             was = now
-        for s in touched:
-            self.boards.updateValue((s,), (_packed(x for x, _ in boards[s]), _packed(c for _, c in boards[s])))
-        if out:
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in (CHANGES if self.top else _BOARD).split(", ")])
-            yield frame.astype({"old_rank": "Int32", "new_rank": "Int32"}) if self.top else frame
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in (CHANGES if top else _BOARD).split(", ")])
+        return frame.astype({"old_rank": "Int32", "new_rank": "Int32"}) if top else frame
 
-    @staticmethod
-    def best(boards: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-        return [(x, -c) for c, x in sorted((-c, x) for b in boards.values() for x, c in b)[:PLACES]]
-
-    def close(self) -> None:
-        pass
+    return merged
 
 
-def changes(lines: DataFrame, shards: int) -> DataFrame:
-    """The changes of rank of a stream of lines (nation_id, item_id, arrival_day, cents): ``shards`` ladders, whose boards are merged FAN at a time.
+def shard_boards(lines: DataFrame, shards: int) -> DataFrame:
+    """The boards of ``shards`` ladders after each day that changes them, of a stream of lines (nation_id, item_id, arrival_day, cents).
 
     Within a micro-batch days are taken in order; the days of a later one must not be earlier.
     """
     known = lines.where(F.col("nation_id").isNotNull()).select(F.pmod(F.xxhash64("nation_id", "item_id"), F.lit(shards)).alias("shard"), "nation_id", "item_id", "arrival_day", "cents")
     sums = known.mapInArrow(lean(summed), "shard long, nation_id int, item_id long, arrival_day long, cents long")
-    boards = sums.groupBy("shard").transformWithStateInPandas(Ladder(), _BOARD, "Append", "None")
+    return sums.groupBy("shard").transformWithStateInPandas(Ladder(), _BOARD, "Append", "None")
+
+
+def changes(boards: DataFrame, shards: int) -> DataFrame:
+    """The changes of rank that follow from all boards of ``shards`` shards, merged FAN at a time."""
     while shards > FAN:
         shards = -(-shards // FAN)
-        grouped = boards.withColumn("part", F.pmod(F.col("shard"), F.lit(shards))).groupBy("nation_id", "part")
-        boards = grouped.transformWithStateInPandas(Merge(False), _BOARD, "Append", "None")
-    return boards.groupBy("nation_id").transformWithStateInPandas(Merge(True), CHANGES, "Append", "None")
+        boards = boards.groupBy("nation_id", F.pmod(F.col("shard"), F.lit(shards)).alias("part")).applyInPandas(merge(False), _BOARD)
+    return boards.groupBy("nation_id").applyInPandas(merge(True), CHANGES)
 
 
 @dataclass
 class Feed:
-    """A new folder of one run: batches waiting, batches fed, the checkpoint and the changes."""
+    """A new folder of one run: batches waiting, batches fed, the checkpoint, the boards of the shards and the changes."""
 
     spark: SparkSession
     place: str
@@ -284,13 +285,13 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 
 
 #: What the state needs: a store that knows maps, few old versions, no files made large before they are filled (there are many small stores),
-#: stores closed when their task ends (the next start opens its own, so all that stay open are memory lost), and one bound on what the open ones take.
+#: stores closed when their task ends (the next start opens its own, so all that stay open are memory lost), and one bound on what the open ones take (each is read once, so there is little to cache).
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
@@ -302,7 +303,7 @@ def run(lines: DataFrame, items: DataFrame, vendors: DataFrame, shards: int | No
     cut(lines, items, vendors).write.partitionBy("batch").parquet(feed.path("waiting"))
     waiting = spark.read.schema("nation_id int, item_id long, cents long, shipped_day long, arrival_day long, batch int").parquet(feed.path("waiting"))
     last_days = {b: d for b, d in waiting.groupBy("batch").agg(F.max("shipped_day")).collect()}
-    shards = shards or max(FAN, -(-items.count() // SHARD_ITEMS))
+    shards = shards or max(LEAST_SHARDS, -(-items.count() // SHARD_ITEMS))
     schema = waiting.schema
     with _settings(spark, SETTINGS):
         for b in sorted(last_days):
@@ -311,9 +312,11 @@ def run(lines: DataFrame, items: DataFrame, vendors: DataFrame, shards: int | No
             stream = spark.readStream.schema(schema).parquet(feed.path("fed"))
             if before is not None:
                 stream = stream.where(F.col("shipped_day") + LATE_DAYS >= before)
-            query = changes(stream, shards).writeStream.format("parquet").outputMode("append").option("checkpointLocation", feed.path("state")).trigger(availableNow=True).start(feed.path("changes"))
+            query = shard_boards(stream, shards).writeStream.format("parquet").outputMode("append").option("checkpointLocation", feed.path("state")).trigger(availableNow=True).start(feed.path("boards"))
             query.awaitTermination()
-    for name in ("waiting", "fed", "state"):
+    if last_days:
+        changes(spark.read.schema(_BOARD).parquet(feed.path("boards")), shards).write.parquet(feed.path("changes"))
+    for name in ("waiting", "fed", "state", "boards"):
         feed.drop(name)
     found = spark.read.schema(CHANGES).parquet(feed.path("changes")) if last_days else spark.createDataFrame([], CHANGES)
     return found.withColumn("batch", batch_of(F.col("arrival_day")))
